@@ -1,14 +1,75 @@
-"""A corpus pipeline of five stages over ``documents``; each stage's result is written as Parquet and read by the next."""
+"""A corpus pipeline of five stages over ``documents``; each stage's result is written as Parquet and read by the next.
+
+Every stage is a function of (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import bpe, language_id, line_dedup, mixing, ngram_join
+from loomspan.llm.common import Scratch, crc_mod
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose best language has a lower mean probability over its bytes is rejected.
+MIN_LANGUAGE_SCORE = 0.4
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those in which no language reaches MIN_LANGUAGE_SCORE, go."""
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    found = language_id.identify(docs.select(*COLUMNS), usable=~held)
+    return found.where((F.col("lang_pred") != language_id.NO_LANGUAGE) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least eight sources have are taken out of the texts; n_chars follows the text."""
+    out = line_dedup.remove_wide_lines(docs.select(*COLUMNS), min_sites=8, max_share=0.75)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    groups = ngram_join.jaccard_components(docs, width=5, num=8, den=10)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "kept_"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in the shares of their target weights; a document that the mix takes twice comes twice, one that it doesn't take goes."""
+    taken = mixing.fair_mix(docs, weights=[5.0, 2.0, 1.0], share=1.5, max_repeats=2).where("repeats > 0").select(F.col("doc_id").alias("taken_"), "repeats")
+    out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_")))
+    return out.withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens and token_ids (little-endian unsigned 32-bit integers) of every text."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, pattern).select("doc_id", "source", "lang", "n_tokens", "token_ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("line_dedup", without_boilerplate),
+    ("jaccard_join", one_of_each_group),
+    ("source_mix", mixed),
+    ("byte_bpe", encoded),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: SQL can't express language ID by a trained network.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("stages follow")
+    """All stages over ``documents``."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.cut(docs, name)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, line_dedup, mixing, ngram_join, token_files, url_filter
+from loomspan.llm import bpe, fingerprints, language_id, line_dedup, mixing, ngram_join, quality, token_files, url_filter, vector_dedup
 
 #: Rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -30,6 +30,22 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_neighbours(_table(spark, sf_dir, "documents"), radius=3)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(_table(spark, sf_dir, "documents"))
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked_components(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_wide_lines(_table(spark, sf_dir, "documents"), min_sites=8, max_share=0.75)
     return out.select("doc_id", "n_lines", "n_removed", "text")
@@ -47,6 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_source_mix": op2_source_mix,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_language_id": op6_language_id,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
