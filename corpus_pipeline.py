@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, language_id, line_dedup, mixing, ngram_join
-from loomspan.llm.common import Scratch, crc_mod
+from loomspan.llm.common import Scratch, crc_mod, whole_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a lower mean probability over its bytes is rejected.
@@ -36,14 +36,14 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
     groups = ngram_join.jaccard_components(docs, width=5, num=8, den=10)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "kept_"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").select(*COLUMNS)
+    kept = groups.where("doc_id = component_id or (doc_id is null and component_id is null)").select(whole_key("doc_id").alias("kept_")).distinct()
+    return docs.select(*COLUMNS).join(kept, whole_key("doc_id") == F.col("kept_"), "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources in the shares of their target weights; a document that the mix takes twice comes twice, one that it doesn't take goes."""
-    taken = mixing.fair_mix(docs, weights=[5.0, 2.0, 1.0], share=1.5, max_repeats=2).where("repeats > 0").select(F.col("doc_id").alias("taken_"), "repeats")
-    out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_")))
+    taken = mixing.fair_mix(docs, weights=[5.0, 2.0, 1.0], share=1.5, max_repeats=2).where("repeats > 0").groupBy(whole_key("doc_id", "source").alias("taken_")).agg(F.max("repeats").alias("repeats"))
+    out = docs.select(*COLUMNS).join(taken, whole_key("doc_id", "source") == F.col("taken_"))
     return out.withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*COLUMNS)
 
 

@@ -96,6 +96,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def whole_key(*cols: Column | str) -> Column:
+    """One string that is never null and differs wherever the columns do, null included: joins on it use plain equality."""
+    part = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in part])
+
+
 def hash_fraction(*cols: Column | str) -> Column:
     """A deterministic value in [0, 1) from the hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, only_ids
+from loomspan.llm.common import Scratch, only_ids, whole_key
 
 #: log2 of a sketch's buckets (its standard error is about 0.83 / 2 ** (LG_K / 2)) and the standard errors around the limit within which lines are counted exactly.
 LG_K, NEAR_ERRORS = 12, 8.0
@@ -66,8 +66,8 @@ def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float = 0.
     lines = scratch.cut(lines, "lines")
     wide = wide_lines(lines, min_sites, scratch)
     gone = only_ids(lines, "hash", wide, wide.count()).groupBy("doc_id", "th").agg(F.collect_set("hash").alias("wide_"))
-    gone = scratch.cut(gone.select(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_"), "wide_"), "gone")
-    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (text_hash == F.col("th_")), "left")
+    gone = scratch.cut(gone.select(whole_key("doc_id", "th").alias("key_"), "wide_"), "gone")
+    both = docs.join(gone.hint("shuffle_hash"), whole_key("doc_id", text_hash) == F.col("key_"), "left")
     full = F.size(F.filter(parts, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains("wide_", line_hash(x)), F.lit(False)))
     few = F.col("wide_").isNotNull() & (F.size(parts) - F.size(kept) <= F.lit(max_share) * full)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch
+from loomspan.llm.common import Scratch, whole_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the virtual time 0 to 4 in which the cut is looked for (later sends share the last), twice.
@@ -96,12 +96,12 @@ def fair_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repe
 
     sums = scratch.cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    target = scratch.cut(water_fill(totals.join(cyclic_weights(totals.select("source"), weights).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), share, max_repeats), "target")
+    target = scratch.cut(water_fill(totals.join(cyclic_weights(totals.select("source"), weights).select(whole_key("source").alias("s"), "weight"), whole_key("source") == F.col("s")).drop("s"), share, max_repeats), "target")
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(target.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
-    starts = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
+    starts = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(target.select(whole_key("source").alias("s"), "source_size", "target"), whole_key("source") == F.col("s")).drop("s", "words")
+    starts = starts.select(whole_key("source", "bucket").alias("b"), "before", "source_size", "target")
     within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sized.withColumn("within", within).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = sized.withColumn("within", within).join(starts, whole_key("source", "bucket") == F.col("b"))
     placed = placed.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("before") + F.col("within")).alias("sent"))
     placed = scratch.cut(placed, "placed")
 
@@ -114,8 +114,8 @@ def fair_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repe
     running = F.sum("size").over(Window.orderBy("finish", "h", "source", "turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = inside.withColumn("r", running).where(F.col("r") + F.lit(used) <= F.lit(budget))
     cut = edge.groupBy("source", "doc_id", "sent").agg(F.count(F.lit(1)).alias("n"))
-    cut = cut.select(F.col("source").alias("cs"), F.col("doc_id").alias("cd"), F.col("sent").alias("ct"), "n")
+    cut = cut.select(whole_key("source", "doc_id", "sent").alias("c"), "n")
     sure = [F.when((F.col("target") > 0) & (F.col("size") > 0) & ((F.lit(t) * F.col("source_size") + F.col("sent")) / F.col("target") < F.lit(lo)), 1).otherwise(0) for t in range(max_repeats)]
-    out = placed.join(cut, F.col("source").eqNullSafe(F.col("cs")) & F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("sent") == F.col("ct")), "left")
+    out = placed.join(cut, whole_key("source", "doc_id", "sent") == F.col("c"), "left")
     out = out.withColumn("repeats", sum(sure[1:], sure[0]).cast("long") + F.coalesce("n", F.lit(0)))
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
