@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries: every operator bound to the driver's tables, with the SQL for the same result."""
