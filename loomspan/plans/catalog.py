@@ -1,4 +1,4 @@
 """All queries and their SQL."""
 
-from loomspan.plans import interval_queries, stat_queries  # noqa: F401
+from loomspan.plans import interval_queries, sequence_queries, stat_queries  # noqa: F401
 from loomspan.plans.bind import ORACLES, QUERIES  # noqa: F401
