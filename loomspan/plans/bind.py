@@ -73,12 +73,9 @@ HIT = "i.chr = o.chr AND i.s < o.e AND i.e > o.s"
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:
-    """Gene models: one per order, its lines' intervals as exons on one axis: name, chr, strand, exons (sorted, disjoint)."""
-    x = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("k"),
-        (F.col("l_orderkey") % 1000 * 5000 + F.col("l_linenumber").cast("long") * 200 + F.col("l_partkey") % 50).alias("s"),
-        F.col("l_quantity").cast("long").alias("q"),
-    )
+    """Gene models: one per order, its line numbers' intervals as exons on one axis: name, chr, strand, exons (sorted, disjoint)."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
+    x = x.select("k", (F.col("k") % 1000 * 5000 + F.col("l_linenumber").cast("long") * 200 + F.col("p") % 50).alias("s"), "q")
     ex = F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), (F.col("s") + F.col("q") + 10).alias("end"))))
     return x.groupBy("k").agg(ex.alias("exons")).select(
         F.concat(F.lit("g"), F.col("k").cast("string")).alias("name"),
@@ -90,9 +87,9 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 GENES = """exons AS (
   SELECT 'g' || l_orderkey AS name, 'c' || (l_orderkey % 25) AS chr, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
-         l_orderkey % 1000 * 5000 + l_linenumber::BIGINT * 200 + l_partkey % 50 AS s,
-         l_orderkey % 1000 * 5000 + l_linenumber::BIGINT * 200 + l_partkey % 50 + l_quantity::BIGINT + 10 AS e
-  FROM lineitem),
+         l_orderkey % 1000 * 5000 + l_linenumber::BIGINT * 200 + min(l_partkey) % 50 AS s,
+         l_orderkey % 1000 * 5000 + l_linenumber::BIGINT * 200 + min(l_partkey) % 50 + min(l_quantity)::BIGINT + 10 AS e
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
 ex AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s, e) AS k, count(*) OVER (PARTITION BY name) AS n,
               lead(s) OVER (PARTITION BY name ORDER BY s, e) AS next_s,
               coalesce(sum(e - s) OVER (PARTITION BY name ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
