@@ -1,52 +1,24 @@
-"""Shared helpers: shipping the package to executors, scratch tables, bounded samples, connected components."""
+"""Shared helpers: scratch tables, bounded samples, connected components."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import hashlib
-import io
-import os
+import gc
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.ship import ship  # noqa: F401
+
 #: Largest number of 8-byte ids that may be broadcast (its count is checked first); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
 
-_shipped: set[str] = set()
 _roots: dict[str, tuple[SparkSession, str]] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    files, digest = {}, hashlib.sha256()
-    for folder, _, names in sorted(os.walk(top)):
-        for name in sorted(names):
-            if name.endswith(".py"):
-                path = os.path.join(folder, name)
-                with open(path, "rb") as f:
-                    files[os.path.relpath(path, os.path.dirname(top))] = body = f.read()
-                digest.update(path.encode() + body)
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in files.items():
-            z.writestr(name, body)
-    folder = tempfile.mkdtemp(prefix="loomspan-ship-")
-    path = os.path.join(folder, f"loomspan-{digest.hexdigest()[:12]}.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def scratch_root(spark: SparkSession) -> str:
     """A folder for intermediate tables: under spark.checkpoint.dir, or a local one where that is unset."""
     app = spark.sparkContext.applicationId
@@ -70,6 +42,12 @@ def _clean() -> None:
             remove(spark, root)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of DataFrames that nothing refers to any more; it does so only after a garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables that cut lineage. ``free`` drops those that later steps no longer read."""
 
