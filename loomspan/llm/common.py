@@ -80,6 +80,16 @@ def whole_key(*cols: Column | str) -> Column:
     return F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in part])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def hash_fraction(*cols: Column | str) -> Column:
     """A deterministic value in [0, 1) from the hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, only_ids, whole_key
+from loomspan.llm.common import Scratch, fresh, only_ids, whole_key
 
 #: log2 of a sketch's buckets (its standard error is about 0.83 / 2 ** (LG_K / 2)) and the standard errors around the limit within which lines are counted exactly.
 LG_K, NEAR_ERRORS = 12, 8.0
@@ -66,12 +66,13 @@ def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float = 0.
     lines = scratch.cut(lines, "lines")
     wide = wide_lines(lines, min_sites, scratch)
     gone = only_ids(lines, "hash", wide, wide.count()).groupBy("doc_id", "th").agg(F.collect_set("hash").alias("wide_"))
-    gone = scratch.cut(gone.select(whole_key("doc_id", "th").alias("key_"), "wide_"), "gone")
-    both = docs.join(gone.hint("shuffle_hash"), whole_key("doc_id", text_hash) == F.col("key_"), "left")
+    of_doc, gone_lines, kept_lines = fresh(docs, "of_doc", "gone_lines", "kept_lines")
+    gone = scratch.cut(gone.select(whole_key("doc_id", "th").alias(of_doc), F.col("wide_").alias(gone_lines)), "gone")
+    both = docs.join(gone.hint("shuffle_hash"), whole_key("doc_id", text_hash) == F.col(of_doc), "left")
     full = F.size(F.filter(parts, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains("wide_", line_hash(x)), F.lit(False)))
-    few = F.col("wide_").isNotNull() & (F.size(parts) - F.size(kept) <= F.lit(max_share) * full)
-    out = both.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "kept_": F.when(few, kept)})
-    out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("kept_"), F.lit(0)).cast("long"))
-    text = F.coalesce(F.array_join("kept_", "\n"), F.col("text"))
+    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(gone_lines, line_hash(x)), F.lit(False)))
+    few = F.col(gone_lines).isNotNull() & (F.size(parts) - F.size(kept) <= F.lit(max_share) * full)
+    out = both.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), kept_lines: F.when(few, kept)})
+    out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(kept_lines), F.lit(0)).cast("long"))
+    text = F.coalesce(F.array_join(kept_lines, "\n"), F.col("text"))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed")

@@ -157,7 +157,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], cutoff: float = 0.5) -> Dat
     an empty table.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "block_score")
-    urls = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    urls = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), "url")
+    urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     ruled = urls.withColumns({"rule": rule, "decided": verdict})
     labelled = ruled.where("rule is not null").select("url", "host", "path", F.when(F.col("decided") == "block", 1).otherwise(0).alias("blocked"))
@@ -167,4 +168,4 @@ def filter_urls(pages: DataFrame, rules: list[Rule], cutoff: float = 0.5) -> Dat
     else:
         scored = features(ruled, model.shares, model.base).withColumn("block_score", model.score())
     judged = F.coalesce("decided", F.when(F.col("block_score") >= cutoff, "block").otherwise("allow"))
-    return scored.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", "rule", judged.alias("verdict"), "block_score")
+    return scored.select(*[F.col(f"page.`{c}`") for c in pages.columns], "host", "path", "rule", judged.alias("verdict"), "block_score")
