@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ROW, _COL = Window.partitionBy("row"), Window.partitionBy("col")
-
 
 def _window(by: str) -> Window:
-    return _ROW if by == "row" else _COL
+    return Window.partitionBy(by)
 
 
 def melt(wide: DataFrame, key: str) -> DataFrame:
@@ -54,14 +52,14 @@ def quantile_normalise(m: DataFrame) -> DataFrame:
 
     Order positions come from a window per column; only (rank, mean) pairs are aggregated across columns.
     """
-    ranked = m.withColumn("rank", F.row_number().over(_COL.orderBy("value", "row")))
+    ranked = m.withColumn("rank", F.row_number().over(_window("col").orderBy("value", "row")))
     means = ranked.groupBy("rank").agg(F.avg("value").alias("value"))
     return ranked.drop("value").join(means, "rank").select("row", "col", "value")
 
 
 def size_factors(m: DataFrame) -> DataFrame:
     """(col, factor): 1 / median over rows of value / geometric mean of the row; rows with a zero drop out."""
-    logs = F.when(F.min("value").over(_ROW) > 0, F.exp(F.avg(F.log("value")).over(_ROW)))
+    logs = F.when(F.min("value").over(_window("row")) > 0, F.exp(F.avg(F.log("value")).over(_window("row"))))
     return m.withColumn("r", F.col("value") / logs).where("r is not null").groupBy("col").agg((1 / F.percentile("r", F.lit(0.5))).alias("factor"))
 
 
@@ -73,7 +71,7 @@ def top_rows(m: DataFrame, by: str, n: int) -> DataFrame:
 
 def invariant_rows(m: DataFrame, fold: float) -> DataFrame:
     """Without rows whose spread of log2 values is at most log2(fold)."""
-    spread = F.pow(F.lit(2.0), F.max("value").over(_ROW) - F.min("value").over(_ROW))
+    spread = F.pow(F.lit(2.0), F.max("value").over(_window("row")) - F.min("value").over(_window("row")))
     return m.withColumn("spread_", spread).where(F.col("spread_") > fold).drop("spread_")
 
 
