@@ -15,8 +15,9 @@ repeat the same with another dealing (both of a pair do, or one of them has foun
 dealing also joins empty blocks, so no pair is lost. The first dealing leaves out shingles that a sample
 shows to be common: the bound holds for the other shingles too, and boilerplate then makes no candidates.
 
-*Sketch bound.* One bit for each shingle, XORed into 128 bits: the Hamming distance of two sketches is at most
-``|A ^ B|``, so candidates with a larger distance than d are dropped before any text is read.
+*Sketch bound.* One bit for each shingle, XORed into a bit sketch: the Hamming distance of two sketches is at most
+``|A ^ B|``, so candidates with a larger distance than d are dropped before any text is read; first by 128 bits
+that travel with the join keys, then by sketches of about as many bits as the set has shingles.
 
 *Verification.* The texts of the remaining pairs are compared exactly (on 64-bit shingle hashes).
 
@@ -35,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, components, only_ids, ship
+from loomspan.llm.common import BROADCAST_IDS, Scratch, components, hash_fraction, only_ids, release, ship
 
 #: Rows of a block up to which all its pairs are compared at once; larger blocks are cut into tiles of about this size.
 TILE = 512
 #: Bounded sample that shows common shingles: documents, least share of them, most shingles kept.
 SAMPLE_DOCS, COMMON_SHARE, COMMON_MOST = 2000, 0.002, 200_000
-#: Ratio of the sizes that a band spans, and number of dealings.
-BAND, DEALINGS = 1.25, 4
+#: Ratio of the sizes that a band spans, number of dealings, and standard deviations of the number of empty blocks that the spare ones hold.
+BAND, DEALINGS, SPARE_SIGMAS = 1.5, 4, 2.0
 WORDS_KEPT = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -105,8 +106,14 @@ class Bands:
         d = self.bound(most, most)
         if not d:
             return 0, 1
-        mean = self.edges[band] / (d + 1)
-        return d, d + 2 + math.ceil(1.5 * (d + 1) * math.exp(-mean))
+        spare = 1
+        for _ in range(30):  # until it holds the empty blocks to expect of the band's smallest sets, and some more
+            n = d + 1 + spare
+            empty = n * math.exp(-self.edges[band] / n)
+            if spare >= empty + SPARE_SIGMAS * math.sqrt(empty):
+                break
+            spare = math.ceil(empty + SPARE_SIGMAS * math.sqrt(empty))
+        return d, d + 1 + spare
 
 
 def _keys(hashes: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
@@ -147,36 +154,84 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), s1, s2 (parity sketch), keys."""
-    spark = docs.sparkSession
-    sample = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.length("text") < 20_000).orderBy("h").limit(SAMPLE_DOCS)
-    common = spark.sparkContext.broadcast(_common(sample, width))
+def whole_sketch(hashes: np.ndarray) -> bytes:
+    """One bit for each hash, XORed into the smallest power of two of bits that is 128 or more and not below the set's size."""
+    bits = 1 << max(7, (max(len(hashes), 1) - 1).bit_length())
+    parity = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance; the longer sketch is first folded to the other's length."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a) * 8, len(b) * 8
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
+def _near(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole sketches are within the bound: no linked pair is dropped."""
+    s = sketch.where("n > 0").select("doc_id", "n", "bits")
+    both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [sketch_distance(x, y) <= (den - num) * (n + m) // (den + num) for n, m, x, y in zip(na, nb, sa, sb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, f1, f2 (fingerprint of the set), bits (its whole sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bands, known = Bands(num, den), np.frombuffer(common.value, np.uint64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                fixed, keys = np.zeros((5, part.num_rows), np.int64), []
-                for k, text in enumerate(part.column(1)):
+            out, bits = np.zeros((3, batch.num_rows), np.int64), []
+            for k, text in enumerate(batch.column(1)):
+                h = shingle_hashes(text.as_py(), width)
+                out[0, k] = len(h)
+                bits.append(whole_sketch(h))
+                out[1:, k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits binary")
+
+
+def _key_rows(docs: DataFrame, width: int, num: int, den: int, common: bytes) -> DataFrame:
+    """key, a (doc_id), n, s1, s2 (parity sketch): one row for each join key of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, known = Bands(num, den), np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                ids, fixed, keys = part.column(0).to_numpy(), [], []
+                for text in part.column(1):
                     h = shingle_hashes(text.as_py(), width)
-                    fixed[0, k] = len(h)
-                    fixed[1:3, k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                    fixed[3:5, k] = _sketch(h)
+                    fixed.append((len(h), *_sketch(h)))
                     keys.append(_keys(h, known, bands) if len(h) else h)
-                ends = np.cumsum([0] + [len(x) for x in keys])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, fixed), lists], names=["doc_id", "n", "f1", "f2", "s1", "s2", "keys"])
+                times = [len(k) for k in keys]
+                cols = [np.repeat(c, times) for c in (ids, *np.array(fixed, np.int64).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, cols)], names=["key", "a", "n", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "key long, a long, n long, s1 long, s2 long")
 
 
-def _common(sample: DataFrame, width: int) -> bytes:
+def _common(docs: DataFrame, width: int) -> bytes:
     """Hashes of the shingles in at least COMMON_SHARE of a bounded sample, sorted. Any set of hashes leaves the join exact."""
-    rows = sample.collect()
+    share = min(1.0, 1.5 * SAMPLE_DOCS / max(docs.count(), 1))
+    sample = docs.where((F.length("text") < 20_000) & (hash_fraction("doc_id") < share)).select("text", F.xxhash64("doc_id").alias("h"))
+    rows = sample.orderBy("h").limit(SAMPLE_DOCS).collect()
     if len(rows) < 200:
         return b""
     h, n = np.unique(np.concatenate([shingle_hashes(r["text"], width) for r in rows]), return_counts=True)
@@ -340,16 +395,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     ship(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    sketch = scratch.cut(_sketches(docs, width, num, den), "sketch")
-    classes = scratch.cut(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    rows = sketch.where("n > 0").join(reps, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("a"), "n", "s1", "s2")
+    sketch = scratch.cut(_sketches(docs, width), "sketch")
+    classes = scratch.cut(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
+    copies = sketch.join(classes.where("m > 1"), ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id").distinct()
+    copies = scratch.cut(copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    few = copies.count() <= BROADCAST_IDS
+    reps = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", "text")
+    rows = _key_rows(reps, width, num, den, _common(docs, width))
     scanned = rows.repartition(F.col("key")).sortWithinPartitions("key", "a").mapInArrow(_scan(num, den), "kind long, key long, a long, b long, n long, s1 long, s2 long")
     scan = scratch.cut(scanned, "scan")
+    del rows, scanned
+    release(spark)
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = scratch.cut(ordered(scan.where("kind = 0")), "pairs")
-    links = scratch.cut(_verified(docs, pairs, width, num, den), "links")
+    near = scratch.cut(_near(pairs, sketch, num, den), "near")
+    links = scratch.cut(_verified(docs, near, width, num, den), "links")
     comps = scratch.cut(components(spark, links, scratch), "comps")
 
     dense = scan.where("kind = 1").select("key", "a", "n", "s1", "s2").distinct()
@@ -363,7 +424,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     crossing = tiles.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_cross(num, den), "a long, b long")
     rest = scratch.cut(ordered(crossing).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.union(scratch.cut(_verified(docs, rest, width, num, den), "more"))
+        near = scratch.cut(_near(rest, sketch, num, den), "near2")
+        links = links.union(scratch.cut(_verified(docs, near, width, num, den), "more"))
         comps = scratch.cut(components(spark, links, scratch), "comps2")
     roots = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     roots = roots.select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component_id"))
