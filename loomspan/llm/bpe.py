@@ -25,7 +25,7 @@ from loomspan.llm.common import ship
 #: Texts longer than this are split into pieces lazily, so that the pieces of a huge text aren't held at once.
 LAZY_CHARS = 1 << 20
 #: Pieces whose ids are kept in a worker's memory, and the longest piece that is kept.
-CACHED_PIECES, CACHED_CHARS = 400_000, 64
+CACHED_PIECES, CACHED_CHARS = 300_000, 64
 #: Patterns in which a lone space between other characters starts a piece, whatever stands around it.
 SPACE_STARTS_PIECE = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 #: Vocabulary files are broadcast; larger ones are refused.
@@ -137,27 +137,27 @@ class _Recent(dict):
 
     def __missing__(self, key):
         out = self.old[key] if key in self.old else self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
         return out
 
 
-class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+class PieceEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit integers; ``encode_piece`` gives those of one piece.
 
     A lone space between two characters that aren't white space always begins a piece of the byte-level
     patterns served here, so a text is cut there first and the ids of each part are remembered. Texts in
     which some part has white space at an end go through the pattern as a whole.
     """
 
-    def __init__(self, body: bytes, pattern: str):
+    def __init__(self, encode_piece, pattern: str):
         import regex
 
-        self.bpe, self.pattern = BacktrackBPE(read_ranks(body)), regex.compile(pattern)
-        self.splits = pattern in SPACE_STARTS_PIECE
-        self.pieces = _Recent(lambda p: _packed(self.bpe.encode_piece(p.encode())), CACHED_PIECES)
+        self.pattern, self.splits = regex.compile(pattern), pattern in SPACE_STARTS_PIECE
+        self.pieces = _Recent(encode_piece, CACHED_PIECES)
         self.parts = _Recent(self._part, CACHED_PIECES)
 
     def _part(self, part: str) -> bytes | None:
@@ -165,19 +165,25 @@ class TextEncoder:
 
     def _whole(self, text: str) -> bytes:
         pieces = self.pattern.findall(text) if len(text) < LAZY_CHARS else (m[0] for m in self.pattern.finditer(text))
-        return b"".join([self.pieces[p] if len(p) <= CACHED_CHARS else self.pieces.compute(p) for p in pieces])
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
-        if self.splits and " " in text and len(text) < LAZY_CHARS:
+        if self.splits and len(text) < LAZY_CHARS:
             first, *rest = text.split(" ")
-            if first and first.strip() == first and max(map(len, rest)) <= CACHED_CHARS:
-                parts = list(map(self.parts.__getitem__, rest))
-                if None not in parts:
-                    return self._whole(first) + b"".join(parts)
+            if first and first.strip() == first:
+                try:
+                    return self._whole(first) + b"".join(map(self.parts.__getitem__, rest))
+                except TypeError:  # a part that has no ids of its own
+                    pass
         return self._whole(text)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bpe.tokens.__getitem__, ids.tolist()))
+
+class TextEncoder(PieceEncoder):
+    """The pieces encoded by BacktrackBPE."""
+
+    def __init__(self, body: bytes, pattern: str):
+        self.bpe = BacktrackBPE(read_ranks(body))
+        super().__init__(lambda p: _packed(self.bpe.encode_piece(p.encode())), pattern)
 
 
 @functools.lru_cache(maxsize=2)
@@ -235,19 +241,19 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
     return _mapped(df, text, {"n_tokens": "long", "token_ids": "binary"}, make)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded`` (binary: the bytes of the tokens of ``ids``; null ids give no bytes)."""
     ship(df.sparkSession)
     body = df.sparkSession.sparkContext.broadcast(_vocabulary(ranks_path))
 
     def make():
-        encoder = _encoder(body.value, pattern)
-        return lambda value: (encoder.decode(np.frombuffer(value or b"", dtype="<u4")),)
+        tokens = read_ranks(body.value)
+        return lambda value: (b"".join(map(tokens.__getitem__, np.frombuffer(value or b"", dtype="<u4").tolist())),)
 
     return _mapped(df, ids, {"decoded": "binary"}, make)
 
 
 def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode, then decode the ids."""
-    out = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "n_tokens", "token_ids"), ranks_path, pattern)
+    out = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "n_tokens", "token_ids"), ranks_path)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, ship
+from loomspan.llm.bpe import PieceEncoder
+from loomspan.llm.common import Scratch, hash_fraction, ship
 
 MAGIC = b"LSTK0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8")])
@@ -37,65 +39,44 @@ INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("of
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 #: Texts (bytes, roughly) that go into one shard.
 SHARD_BYTES = 24 << 20
-#: Parts of texts whose ids are kept in a worker's memory, and the longest part that is kept.
-CACHED_PARTS, CACHED_CHARS = 300_000, 64
+#: The fixed pattern of byte-level pre-tokenizers.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each part of a text.
+class LibraryEncoder(PieceEncoder):
+    """The tokenizers library, asked once for each pre-token.
 
-    With a byte-level pre-tokenizer (``add_prefix_space`` off) a lone space between two characters that
-    aren't white space always begins a new pre-token, so the ids of a text are those of its parts cut
-    there. Parts are remembered; texts in which a part has white space at an end are encoded whole.
+    With a byte-level pre-tokenizer (``add_prefix_space`` off) a text's ids are those of its pre-tokens, one
+    after the other; they are found and remembered as in ``PieceEncoder``. Other tokenizers get whole texts.
     ``special``: whether special tokens' strings in a text become special ids (off: ordinary text).
     """
 
     def __init__(self, body: bytes, special: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(body)
         self.tokenizer.encode_special_tokens = not special
         kind = self.tokenizer.pre_tokenizer
-        self.splits = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and self.tokenizer.normalizer is None and not special
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self._whole(texts)
-        cut = [t.split(" ") for t in texts]
-        parts = {p for c in cut for p in c[1:]}
-        if len(self.known) > CACHED_PARTS:
-            self.known, self.older = {}, self.known
-        known = self.known
-        new = []
-        for p in parts - known.keys():
-            if p in self.older:
-                known[p] = self.older[p]
-            elif len(p) > CACHED_CHARS or not p or p.strip() != p:
-                known[p] = None
-            else:
-                new.append(p)
-        for p, ids in zip(new, self._whole([" " + p for p in new])):
-            known[p] = ids
-        first = iter(self._whole([c[0] for c in cut]))
-        out, odd = [], []
-        for k, c in enumerate(cut):
-            head, got = next(first), list(map(known.__getitem__, c[1:]))
-            if None in got or c[0].strip() != c[0] or not c[0]:
-                odd.append(k)
-                out.append(b"")
-            else:
-                out.append(head + b"".join(got))
-        for k in odd:
-            out[k] = self._whole([texts[k]])[0]
-        for p in parts:
-            if len(p) > CACHED_CHARS:
-                del known[p]
-        return out
+        self.by_piece = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None and not special
+        super().__init__(self.of_piece, BYTE_LEVEL_PATTERN)
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: 256 + k for k, b in enumerate(others)}
+
+    def of_piece(self, piece: str) -> bytes:
+        """Ids of one pre-token by the library's model."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        return super().encode(text) if self.by_piece else self.library(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -181,15 +162,17 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_
     with open(tokenizer_path, "rb") as f:
         body = f.read()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chosen = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    size, n_rows = rows.agg(F.sum(F.length("text").cast("long")), F.count(F.lit(1))).first()
+    size = size or 0
+    fits = F.length("text").between(1, SAMPLE_CHARS) & (hash_fraction("doc_id", "text") < min(1.0, 1.5 * SAMPLE_DOCS / max(n_rows, 1)))
+    chosen = rows.where(fits).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
     sample = [r["text"] for r in chosen]
-    dictionary = train_dictionary(LibraryEncoder(body, special).encode(sample)) if sample else b""
+    dictionary = train_dictionary(list(map(LibraryEncoder(body, special).encode, sample))) if sample else b""
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, top = _open(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/dictionary-{digest}.zdict") as f:
         f.write(dictionary)
-    size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-size // shard_size), min(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -203,7 +186,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 x = batch.slice(lo, 512)
-                ids = encoder.encode(x.column(1).to_pylist())
+                ids = map(encoder.encode, x.column(1).to_pylist())
                 docs += zip((-(1 << 63) if i is None else i for i in x.column(0).to_pylist()), (i + end for i in ids))
         if not docs:
             return
