@@ -1,9 +1,10 @@
 """Near-duplicate vectors by spherical k-means cells (operator 7).
 
 Equal vectors are one class first. Centroids are fitted on a bounded sample; each class belongs to the cell of
-its nearest centroid and also visits cells whose centroid is almost as near. Within a cell, blocks of visitors
-and members are compared by matrix products. A pair's two vectors lie a bounded distance apart, so a vector
-visits the cell of a linked one unless their difference points strongly along the centroids: see MARGIN_SIGMAS.
+its nearest centroid and also visits every later cell that a linked vector may belong to. Within a cell, blocks
+of visitors and members are compared by matrix products. The points as near to two centroids as to each other
+are a hyperplane through the origin; the way from a vector to a linked one of the other cell crosses it, so the
+vector's angle to it is at most the angle of the threshold (see ``visits``). No pair is lost.
 Counts of links and a spanning forest leave a block, never its pairs. Components join the forests.
 """
 
@@ -22,8 +23,8 @@ from loomspan.llm.common import Scratch, components, forest, ship
 
 #: Bounded sample that the centroids are fitted on, classes a cell holds on average, most cells, k-means rounds.
 SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, ROUNDS = 20_000, 2000, 4096, 8
-#: A vector visits cells whose centroid is less near than its own by up to this many standard deviations of what a linked vector may lose, if differences point anywhere alike.
-MARGIN_SIGMAS = 2.5
+#: Added to the bound on visits for rounding.
+ROUNDING = 1e-7
 #: Rows of a block.
 BLOCK = 1024
 #: Screening in single precision keeps pairs this far below the limit; they are then decided in double precision.
@@ -43,6 +44,24 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
     return c
 
 
+def visits(near: np.ndarray, centroids: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells each row visits: its own (of largest cosine ``near`` to the unit ``centroids``) and those after it that may hold a linked row.
+
+    A row a of cell i linked with b of cell j has near[i] - near[j] <= sin(angle of ``threshold``) * |c_i - c_j|,
+    and so has b the other way round; it is enough that the row of the earlier cell visits.
+    """
+    home = near.argmax(axis=1)
+    lower = threshold - 1e-12
+    own = near[np.arange(len(near)), home][:, None]
+    if lower > 0:
+        apart = np.sqrt(np.maximum(2 - 2 * (centroids[home] @ centroids.T), 0))
+        reach = own - near <= math.sqrt(max(1 - lower * lower, 0.0)) * apart + ROUNDING
+    else:
+        reach = np.ones(near.shape, bool)
+    cell = np.arange(near.shape[1])[None]
+    return (cell == home[:, None]) | (reach & (cell > home[:, None]))
+
+
 def _unit(v: list | None) -> list | None:
     """The vector scaled to length 1 in double precision; None if null, empty, zero, or with null or non-finite components."""
     if not v or any(x is None for x in v):
@@ -111,19 +130,20 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, thresho
     k = max(1, min(MOST_CELLS, math.ceil(n / CELL_ROWS)))
     sample = classes.select("unit", "rep").orderBy("rep").limit(SAMPLE_ROWS).select("unit").collect()
     centroids = spherical_kmeans(np.stack([np.frombuffer(r["unit"], np.float64) for r in sample]), k)
-    margin = MARGIN_SIGMAS * math.sqrt(2 - 2 * threshold) * math.sqrt(2 / dims)
     shared = spark.sparkContext.broadcast(centroids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 near = np.stack([np.frombuffer(u, np.float64) for u in part.column(0).to_pylist()]) @ c.T
                 home = near.argmax(axis=1)
-                row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
-                cols = [part.take(pa.array(row)).column(i) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home[row]), *cols], names=["cell", "home", "unit", "rep", "mult"])
+                rows, cells = np.nonzero(visits(near, c, threshold))
+                for at in range(0, len(rows), 8192):
+                    row, cell = rows[at : at + 8192], cells[at : at + 8192]
+                    cols = [part.take(pa.array(row)).column(i) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home[row]), *cols], names=["cell", "home", "unit", "rep", "mult"])
 
     placed = scratch.cut(classes.select("unit", "rep", "mult").mapInArrow(place, "cell long, home long, unit binary, rep long, mult long"), f"placed{dims}")
     number = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("members"))
@@ -135,7 +155,7 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, thresho
     y = blocks.where(own).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1))).select("cell", "p", F.pmod(salt, "m").alias("q"), F.lit(1).alias("side"), "home", "unit", "rep", "mult")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, cell = shared.value, int(pdf["cell"].iloc[0])
+        cell = int(pdf["cell"].iloc[0])
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if a.empty or b.empty:
             return pd.DataFrame({"rep": [], "n": [], "other": []})
@@ -146,12 +166,7 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, thresho
         i, j = i[keep], j[keep]
         cosine = np.concatenate([np.einsum("nd,nd->n", ua[i[lo : lo + 65536]], ub[j[lo : lo + 65536]]) for lo in range(0, max(len(i), 1), 65536)])
         i, j = i[cosine >= threshold], j[cosine >= threshold]
-        # both of one cell: met in either order, each counts its own; else the visitor and the member count once, in the smaller cell if each visits the other's
-        same = ha[i] == cell
-        near = ub @ c.T
-        returns = near[j, ha[i]] >= near.max(axis=1)[j] - margin
-        mine = same | ~(returns & (ha[i] < cell))
-        i, j, same = i[mine], j[mine], same[mine]
+        same = ha[i] == cell  # both of one cell: met in either order, each counts its own; else the pair meets here only, for both
         ma, mb = a["mult"].to_numpy(), b["mult"].to_numpy()
         na = np.bincount(i, weights=mb[j], minlength=len(a)).astype(np.int64)
         nb = np.bincount(j[~same], weights=ma[i[~same]], minlength=len(b)).astype(np.int64)
