@@ -187,10 +187,16 @@ def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def fingerprints_with_neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``fingerprint_with_next`` with n_near (long): number of other distinct fingerprints within ``radius`` bits."""
+    """``fingerprint_with_next`` with class_id and n_near (long).
+
+    A class is the rows of one fingerprint, class_id its smallest doc_id (null if none has one). n_near: other rows
+    whose fingerprint is equal or within ``radius`` bits.
+    """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(fingerprint_with_next(docs), "rows")
-    pairs = scratch.cut(near_pairs(rows, radius), "pairs")
-    near = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).groupBy("p").agg(F.count(F.lit(1)).alias("n_near"))
-    out = rows.join(near, rows["fingerprint"] == near["p"], "left").drop("p")
-    return out.withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    classes = scratch.cut(rows.groupBy(F.col("fingerprint").alias("p")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")), "classes")
+    pairs = scratch.cut(near_pairs(classes.select(F.col("p").alias("fingerprint")), radius), "pairs")
+    ways = pairs.select("a", "b").union(pairs.select("b", "a"))
+    near = ways.join(classes.select(F.col("p").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("n"))
+    known = classes.join(near, classes["p"] == near["a"], "left").select("p", "class_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_near"))
+    return rows.join(known, rows["fingerprint"] == known["p"]).drop("p")
