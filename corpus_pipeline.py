@@ -28,8 +28,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least eight sources have are taken out of the texts; n_chars follows the text."""
-    out = line_dedup.remove_wide_lines(docs.select(*COLUMNS), min_sites=8, max_share=0.75)
+    """Lines that at least eight sources have are taken out of the texts that have other lines too; n_chars follows the text."""
+    out = line_dedup.remove_wide_lines(docs.select(*COLUMNS), min_sites=8)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -46,14 +46,14 @@ def wide_lines(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
     return scratch.cut(sure.union(exact.where(F.col("sites") >= min_sites).select("hash")), "wide")
 
 
-def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float = 0.75, site: str = "source") -> DataFrame:
+def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float | None = None, site: str = "source") -> DataFrame:
     """``docs`` with the lines of ``text`` that at least ``min_sites`` sites have taken out; adds n_lines and n_removed (long).
 
     Lines are split at line feeds. Compared are lines without white space at their ends, by a 64-bit hash; blank
     lines are never removed. All copies of a wide line go, on every site and on rows without one (a null site
-    doesn't count towards the spread). A document of whose lines (blank ones apart) more than ``max_share`` are
-    wide is a copy rather than a page with boilerplate around its own text; it is left whole, for near-duplicate
-    removal to judge. The kept lines stay as they are, in their order. Null texts stay null with 0 lines; an empty
+    doesn't count towards the spread). A document whose every line (blank ones apart) is wide is a copy
+    rather than a page with boilerplate around its own text; it is left whole, for near-duplicate removal to judge.
+    With ``max_share``, so is one of whose lines more than that share are wide. The kept lines stay as they are, in their order. Null texts stay null with 0 lines; an empty
     text is one blank line. Every row is returned once, repeated rows as well. Columns n_lines and n_removed in
     ``docs`` are replaced, all others kept. An empty table gives an empty table.
     """
@@ -71,7 +71,8 @@ def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float = 0.
     both = docs.join(gone.hint("shuffle_hash"), whole_key("doc_id", text_hash) == F.col(of_doc), "left")
     full = F.size(F.filter(parts, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(gone_lines, line_hash(x)), F.lit(False)))
-    few = F.col(gone_lines).isNotNull() & (F.size(parts) - F.size(kept) <= F.lit(max_share) * full)
+    n_wide = F.size(parts) - F.size(kept)
+    few = F.col(gone_lines).isNotNull() & (n_wide < full if max_share is None else n_wide <= F.lit(max_share) * full)
     out = both.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), kept_lines: F.when(few, kept)})
     out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(kept_lines), F.lit(0)).cast("long"))
     text = F.coalesce(F.array_join(kept_lines, "\n"), F.col("text"))
