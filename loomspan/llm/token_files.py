@@ -47,8 +47,9 @@ class LibraryEncoder(PieceEncoder):
     """The tokenizers library, asked once for each pre-token.
 
     With a byte-level pre-tokenizer (``add_prefix_space`` off) a text's ids are those of its pre-tokens, one
-    after the other; they are found and remembered as in ``PieceEncoder``. Other tokenizers get whole texts.
-    ``special``: whether special tokens' strings in a text become special ids (off: ordinary text).
+    after the other; they are found and remembered as in ``PieceEncoder``. Texts with the string of an added
+    token, and all texts of other tokenizers, go to the library whole. ``special``: whether special tokens' strings
+    in a text become special ids, the library's default (off: ordinary text).
     """
 
     def __init__(self, body: bytes, special: bool = False):
@@ -58,7 +59,8 @@ class LibraryEncoder(PieceEncoder):
         self.tokenizer = Tokenizer.from_buffer(body)
         self.tokenizer.encode_special_tokens = not special
         kind = self.tokenizer.pre_tokenizer
-        self.by_piece = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None and not special
+        self.by_piece = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         super().__init__(self.of_piece, BYTE_LEVEL_PATTERN)
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
@@ -76,7 +78,7 @@ class LibraryEncoder(PieceEncoder):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        return super().encode(text) if self.by_piece else self.library(text)
+        return super().encode(text) if self.by_piece and not any(t in text for t in self.added) else self.library(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -231,8 +233,8 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
 
 def written_digests(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write all documents, read the files back: doc_id, start, n_tokens, ids_crc32 (unsigned crc32 of the ids' bytes)."""
+    """Write all documents, encoded as the library does by default, read the files back: doc_id, start, n_tokens, ids_crc32 (unsigned crc32 of the ids' bytes)."""
     spark = docs.sparkSession
-    files = write(docs, Scratch(spark).path("tokens"), tokenizer_path, end_id)
+    files = write(docs, Scratch(spark).path("tokens"), tokenizer_path, end_id, special=True)
     lost = F.col("doc_id") == F.lit(-(1 << 63))
     return read(spark, files).select(F.when(~lost, F.col("doc_id")).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
