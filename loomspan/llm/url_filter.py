@@ -9,15 +9,13 @@ as nested CASE expressions, so scoring is one projection inside whole-stage code
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import hash_fraction
+from loomspan.llm.common import Scratch, hash_fraction
 
-#: Bounded labelled sample that the trees are fitted on, and bounds of the table of host suffixes.
-TRAIN_ROWS, SUFFIXES, SUFFIX_MIN_ROWS = 20_000, 500, 5
+#: Bounded labelled sample that the trees are fitted on; rows at the overall share that are added to each host suffix's.
+TRAIN_ROWS, SUFFIX_PRIOR_ROWS = 20_000, 5
 TREES, DEPTH, STEP = 20, 4, 0.2
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -50,17 +48,13 @@ def _count(x: Column, chars: str) -> Column:
     return F.length(x) - F.length(F.translate(x, chars, ""))
 
 
-#: Characters whose frequencies make up the entropy; all others count as one class.
-_CLASSES = [*"abcdefghijklmnopqrstuvwxyz", "0123456789", "-_.", "/", "?&=#%"]
-
-
 def lexical(url: str = "url", host: str = "host", path: str = "path") -> dict[str, Column]:
     """Numeric features of a URL from its text alone; null URLs count as empty."""
     u, h, p = F.lower(F.coalesce(F.col(url), F.lit(""))), F.col(host), F.col(path)
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
-    shares = [_count(u, c) / n for c in _CLASSES]
-    shares.append(F.greatest(F.lit(1.0) - reduce(lambda a, b: a + b, shares), F.lit(0.0)))
-    entropy = reduce(lambda a, b: a + b, [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares])
+    chars = F.array_sort(F.array_distinct(F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0))))  # sorted: equal sums for equal counts
+    shares = F.transform(chars, lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))) / n)
+    entropy = F.aggregate(shares, F.lit(0.0), lambda a, s: a - s * F.log2(s))
     letters = F.greatest(F.length(h), F.lit(1)).cast("double")
     return {
         "length": F.length(u).cast("double"),
@@ -86,10 +80,10 @@ def suffixes(host: Column) -> tuple[Column, Column]:
 
 @dataclass
 class UrlModel:
-    """Trees as SQL, the table of suffix shares and the share of blocked rows overall."""
+    """Trees as SQL, the table (suffix, share) of all labelled host suffixes and the share of blocked rows overall."""
 
     margin: str
-    shares: dict[str, float]
+    shares: DataFrame
     base: float
     names: list[str]
 
@@ -98,14 +92,6 @@ class UrlModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.expr(self.margin)))
 
 
-def _suffix_columns(host: Column, shares: dict[str, float], base: float) -> dict[str, Column]:
-    one, two = suffixes(host)
-    if not shares:
-        return {"tld_share": F.lit(base), "suffix_share": F.lit(base)}
-    table = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
-    return {"tld_share": F.coalesce(F.element_at(table, one), F.lit(base)), "suffix_share": F.coalesce(F.element_at(table, two), F.lit(base))}
-
-
 def _tree_sql(node, names: list[str]) -> str:
     """A fitted tree as nested CASE expressions."""
     if node.numDescendants() == 0:
@@ -115,10 +101,12 @@ def _tree_sql(node, names: list[str]) -> str:
     return f"CASE WHEN `f_{name}` <= {float(split.threshold())!r}D THEN {_tree_sql(node.leftChild(), names)} ELSE {_tree_sql(node.rightChild(), names)} END"
 
 
-def features(df: DataFrame, shares: dict[str, float], base: float) -> DataFrame:
-    """``df`` (url, host, path) with one column f_<name> for each feature."""
-    made = lexical() | _suffix_columns(F.col("host"), shares, base)
-    return df.withColumns({f"f_{k}": v for k, v in made.items()})
+def features(df: DataFrame, shares: DataFrame, base: float) -> DataFrame:
+    """``df`` (url, host, path) with one column f_<name> for each feature; suffixes that ``shares`` lacks have the share ``base``."""
+    for name, suffix in zip(("tld_share", "suffix_share"), suffixes(F.col("host"))):
+        df = df.join(shares.select(F.col("suffix").alias("suffix_"), F.col("share").alias(f"f_{name}")), suffix == F.col("suffix_"), "left").drop("suffix_")
+        df = df.withColumn(f"f_{name}", F.coalesce(f"f_{name}", F.lit(base)))
+    return df.withColumns({f"f_{k}": v for k, v in lexical().items()})
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel | None:
@@ -133,9 +121,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     sample = labelled.where(hash_fraction("url") < keep).select("url", "host", "path", "blocked")
     base = counts[1] / (counts[0] + counts[1])
     one, two = suffixes(F.col("host"))
-    seen = labelled.select(F.explode(F.array_distinct(F.array(one, two))).alias("s"), "blocked").groupBy("s").agg(F.avg("blocked").alias("share"), F.count(F.lit(1)).alias("n"))
-    seen = seen.where(F.col("n") >= SUFFIX_MIN_ROWS).orderBy(F.desc("n"), "s").limit(SUFFIXES)
-    shares = {r["s"]: float(r["share"]) for r in seen.collect()}
+    seen = labelled.select(F.explode(F.array_distinct(F.array(one, two))).alias("suffix"), "blocked").groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("n"))
+    share = (F.col("blocked") + SUFFIX_PRIOR_ROWS * base) / (F.col("n") + SUFFIX_PRIOR_ROWS)
+    shares = Scratch(labelled.sparkSession).cut(seen.select("suffix", share.alias("share")), "suffixes")
     x = features(sample, shares, base)
     names = [c[2:] for c in x.columns if c.startswith("f_")]
     ready = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="features").transform(x).select("features", F.col("blocked").cast("double").alias("label")).coalesce(4)
