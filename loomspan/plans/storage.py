@@ -1,4 +1,4 @@
-"""Written intermediate tables, in the shared folder that spark.checkpoint.dir names, or a local one where it is unset."""
+"""Written intermediate tables, in the shared folder that spark.checkpoint.dir names, or a local one where it is unset under a local master."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ _own: dict[str, str] = {}
 
 def folder(spark) -> str:
     app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if app not in _own:
-        _own[app] = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='loomspan-')}/plans-{uuid.uuid4().hex[:8]}"
+        _own[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='loomspan-')}/plans-{uuid.uuid4().hex[:8]}"
     return _own[app]
 
 
