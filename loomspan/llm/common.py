@@ -20,10 +20,12 @@ _roots: dict[str, tuple[SparkSession, str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder for intermediate tables: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A folder for intermediate tables: under spark.checkpoint.dir, or a local one where that is unset under a local master."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="loomspan-scratch-")
         _roots[app] = (spark, f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex[:12]}")

@@ -27,6 +27,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """64-bit hash of the text; null and empty texts differ."""
+    return F.xxhash64(text, text.isNull())
+
+
 def cyclic_weights(sources: DataFrame, weights: list[float]) -> DataFrame:
     """(source, weight): the sources by code point, null last, get the weights in turn. One row per source is sorted, no documents."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -78,20 +83,21 @@ def _cut(sends: DataFrame, budget: float) -> tuple[float, float, int]:
 
 
 def fair_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, text): doc_id, source, size, source_size, target, repeats, taken.
+    """One row per row of ``docs`` (doc_id, source, text): doc_id, source, text_hash, size, source_size, target, repeats, taken.
 
-    size: words of the whole text (null: 0). The sources' weights are ``weights`` in turn, by code point,
+    text_hash: ``text_hash(text)``, which tells rows with one id and source apart. size: words of the whole text (null: 0). The sources' weights are ``weights`` in turn, by code point,
     null last. The mix has ``share`` times all words, no document more than ``max_repeats`` times. repeats:
     how often the mix has the document; taken: its words in it. Reruns give the same rows.
 
     Empty and null texts have size 0 and are never taken. Rows with one id and source stand next to each
-    other in the order, and equal rows are told apart by position only. An empty table gives no rows. Other
-    columns are not read.
+    other in the order, by size and text_hash, and equal rows are told apart by position only. Rows without id
+    are ordered by their texts. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("h"))
+    own = text_hash(F.col("text"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), own.cast("string")))).cast("binary"))
+    sized = docs.select("doc_id", "source", own.alias("text_hash"), word_count(F.col("text")).alias("size"), order.alias("h"))
     sized = scratch.cut(sized.withColumn("bucket", F.substring("h", 1, 3)), "sized")
 
     sums = scratch.cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
@@ -100,9 +106,9 @@ def fair_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repe
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(target.select(whole_key("source").alias("s"), "source_size", "target"), whole_key("source") == F.col("s")).drop("s", "words")
     starts = starts.select(whole_key("source", "bucket").alias("b"), "before", "source_size", "target")
-    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
     placed = sized.withColumn("within", within).join(starts, whole_key("source", "bucket") == F.col("b"))
-    placed = placed.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("before") + F.col("within")).alias("sent"))
+    placed = placed.select("doc_id", "source", "text_hash", "size", "h", "source_size", "target", (F.col("before") + F.col("within")).alias("sent"))
     placed = scratch.cut(placed, "placed")
 
     sends = placed.where("size > 0 and target > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
@@ -118,4 +124,4 @@ def fair_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repe
     sure = [F.when((F.col("target") > 0) & (F.col("size") > 0) & ((F.lit(t) * F.col("source_size") + F.col("sent")) / F.col("target") < F.lit(lo)), 1).otherwise(0) for t in range(max_repeats)]
     out = placed.join(cut, whole_key("source", "doc_id", "sent") == F.col("c"), "left")
     out = out.withColumn("repeats", sum(sure[1:], sure[0]).cast("long") + F.coalesce("n", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
