@@ -68,7 +68,7 @@ def remove_wide_lines(docs: DataFrame, min_sites: int = 8, max_share: float | No
     gone = only_ids(lines, "hash", wide, wide.count()).groupBy("doc_id", "th").agg(F.collect_set("hash").alias("wide_"))
     of_doc, gone_lines, kept_lines = fresh(docs, "of_doc", "gone_lines", "kept_lines")
     gone = scratch.cut(gone.select(whole_key("doc_id", "th").alias(of_doc), F.col("wide_").alias(gone_lines)), "gone")
-    both = docs.join(gone.hint("shuffle_hash"), whole_key("doc_id", text_hash) == F.col(of_doc), "left")
+    both = docs.join(gone, whole_key("doc_id", text_hash) == F.col(of_doc), "left")
     full = F.size(F.filter(parts, lambda x: F.trim(x, F.lit(BLANKS)) != ""))
     kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(gone_lines, line_hash(x)), F.lit(False)))
     n_wide = F.size(parts) - F.size(kept)

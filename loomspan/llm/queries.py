@@ -47,7 +47,7 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_wide_lines(_table(spark, sf_dir, "documents"), min_sites=8, max_share=0.75)
+    out = line_dedup.remove_wide_lines(_table(spark, sf_dir, "documents"), min_sites=8)
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -127,8 +127,8 @@ known AS (SELECT coalesce(list(line), []) AS w FROM wide),
 kept AS (
   SELECT doc_id, text, p, list_filter(p, lambda x, i: NOT list_contains(w, b[i])) AS k, len(list_filter(b, lambda x: x <> '')) AS f FROM bare, known)
 SELECT doc_id, coalesce(len(p), 0)::BIGINT AS n_lines,
-       (CASE WHEN len(p) - len(k) <= 0.75 * f THEN len(p) - len(k) ELSE 0 END)::BIGINT AS n_removed,
-       CASE WHEN len(p) - len(k) <= 0.75 * f AND len(p) > len(k) THEN array_to_string(k, chr(10)) ELSE text END AS text
+       (CASE WHEN len(p) - len(k) < f THEN len(p) - len(k) ELSE 0 END)::BIGINT AS n_removed,
+       CASE WHEN len(p) - len(k) < f AND len(p) > len(k) THEN array_to_string(k, chr(10)) ELSE text END AS text
 FROM kept
 """
 
