@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import crc_mod, hash_fraction, ship
 
-#: Bounded training sample: documents for each language, characters of each, windows of each; most languages learned.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, MOST_LANGUAGES = 300, 20_000, 24, 200
+#: Bounded training sample: documents for each language, and windows of each, drawn from the whole text.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 24
+#: More labels than this are an error: each takes its share of the training sample and of every byte's work.
+MOST_LANGUAGES = 1000
 WINDOW, HIDDEN, STEPS, BATCH = 64, 8, 400, 128
 NO_LANGUAGE = "und"
 
@@ -140,18 +142,31 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, w
 
 
+def drawn_windows(text: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """SAMPLE_WINDOWS of a whole text's windows at most, drawn without replacement."""
+    x, w = windows(text)
+    if len(x) <= SAMPLE_WINDOWS:
+        return x, w
+    pick = np.random.default_rng(seed % (1 << 63)).choice(len(x), SAMPLE_WINDOWS, replace=False)
+    return x[pick], w[pick]
+
+
 def fit(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 11) -> Network | None:
-    """Train on labelled texts with Adam; each language is drawn equally often. None without a text that isn't empty."""
+    """Train on labelled texts. None without a text that isn't empty."""
+    some = [(drawn_windows(x, k), y) for k, (x, y) in enumerate(zip(texts, labels)) if x]
+    return fit_windows([x for x, _ in some], [y for _, y in some], steps, hidden, seed)
+
+
+def fit_windows(drawn: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 11) -> Network | None:
+    """Train on labelled windows with Adam; each language is drawn equally often. None without any."""
     rng = np.random.default_rng(seed)
-    languages = sorted({y for x, y in zip(texts, labels) if x})
+    languages = sorted(set(labels))
     if not languages:
         return None
+    place = {y: k for k, y in enumerate(languages)}
     pool: dict[int, list] = {k: [] for k in range(len(languages))}
-    for x, y in zip(texts, labels):
-        if x:
-            a, w = windows(x)
-            pick = rng.choice(len(a), SAMPLE_WINDOWS, replace=False) if len(a) > SAMPLE_WINDOWS else slice(None)
-            pool[languages.index(y)].append((a[pick], w[pick]))
+    for x, y in zip(drawn, labels):
+        pool[place[y]].append(x)
     data = {k: tuple(map(np.concatenate, zip(*v))) for k, v in pool.items()}
     net = new_network(languages, hidden, rng)
     first = [np.zeros_like(p) for p in net.params()]
@@ -195,16 +210,26 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
-def training_sample(docs: DataFrame, usable: Column) -> tuple[list[bytes], list[str]]:
-    """A bounded sample of texts and their languages, about as many of each language, picked by the hash of id and text."""
+def training_sample(docs: DataFrame, usable: Column) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Windows of a bounded sample of texts and their languages, about as many of each language, picked by the hash of id and text. Only windows leave the executors."""
     rows = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return [], []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts])
-    got = rows.where(hash_fraction("doc_id") < share).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    got = got.orderBy("h", "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
-    return [r["text"].encode() for r in got], [r["lang"] for r in got]
+    got = rows.where(hash_fraction("doc_id", "text") < share).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                x, w = drawn_windows(text.as_py().encode(), h)
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (h, lang, x.tobytes(), w.astype(np.uint8).tobytes())], names=["h", "lang", "x", "w"])
+
+    got = got.mapInArrow(draw, "h long, lang string, x binary, w binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    part = lambda b: np.frombuffer(b, np.uint8).reshape(-1, WINDOW)
+    return [(part(r["x"]), part(r["w"]).astype(np.float32)) for r in got], [r["lang"] for r in got]
 
 
 def identify(docs: DataFrame, usable: Column | None = None) -> DataFrame:
@@ -221,7 +246,7 @@ def identify(docs: DataFrame, usable: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("lang_pred", "lang_score")
-    net = fit(*training_sample(docs, F.lit(True) if usable is None else usable))
+    net = fit_windows(*training_sample(docs, F.lit(True) if usable is None else usable))
     shared = spark.sparkContext.broadcast(net)
     place = docs.columns.index("text")
 
