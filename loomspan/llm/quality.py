@@ -147,7 +147,7 @@ def _mapped(df: DataFrame, added: str, make) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                new = pa.array([work(features(t.as_py())) for t in part.column(place)], pa.float64() if kind == "double" else pa.list_(pa.int32()))
+                new = pa.array([work(features(t.as_py())) for t in part.column(place)], pa.float64() if kind == "double" else pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added]))
@@ -163,9 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     share = F.coalesce(*[F.when(F.col("quality") == k, F.lit(min(1.0, SAMPLE_ROWS / n))) for k, n in counts.items()])
     picked = rows.where(hash_fraction("doc_id") < share).orderBy(F.xxhash64("doc_id")).limit(4 * SAMPLE_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded: 4 * SAMPLE_ROWS rows
-    got = _mapped(sample, "f array<int>", lambda: lambda f: f).select("doc_id", "quality", "f").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return fit([np.array(r["f"], np.int32) for r in got], np.array([r["quality"] for r in got], int), counts.get(1, 0) / total)
+    got = _mapped(sample, "f binary", lambda: np.ndarray.tobytes).select("doc_id", "quality", "f").collect()  # 32-bit feature numbers
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
+    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["quality"] for r in got], int), counts.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
