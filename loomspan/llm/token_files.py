@@ -35,8 +35,8 @@ from loomspan.llm.common import Scratch, hash_fraction, ship
 
 MAGIC = b"LSTK0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8")])
-#: Bounded sample on which the dictionary is trained: documents, characters of each, size of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
+#: Bounded sample on which the dictionary is trained: documents, ids of each (a span from anywhere in the whole text), size of the dictionary.
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2048, 64 << 10
 #: Texts (bytes, roughly) that go into one shard.
 SHARD_BYTES = 24 << 20
 #: The fixed pattern of byte-level pre-tokenizers.
@@ -152,6 +152,22 @@ class TokenFiles:
     shards: list[tuple[str, int, int]]
 
 
+def _sample(rows: DataFrame, n_rows: int, body: bytes, special: bool) -> list[bytes]:
+    """Ids of about SAMPLE_DOCS texts of any length; of each a span of SAMPLE_IDS at most, cut out on the executors at a place that the text's hash picks."""
+    shared = rows.sparkSession.sparkContext.broadcast(body)
+    drawn = rows.where((F.col("text") != "") & (hash_fraction("doc_id", "text") < min(1.0, 1.2 * SAMPLE_DOCS / max(n_rows, 1)))).select("text", F.xxhash64("doc_id", "text").alias("h"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value, special)
+        for batch in batches:
+            for text, h in zip(batch.column(0), batch.column(1).to_pylist()):
+                ids = encoder.encode(text.as_py())
+                at = 4 * (h % max(1, len(ids) // 4 - SAMPLE_IDS + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([ids[at : at + 4 * SAMPLE_IDS]], pa.binary())], names=["h", "ids"])
+
+    return [r["ids"] for r in drawn.mapInArrow(cut, "h long, ids binary").orderBy("h", "ids").limit(2 * SAMPLE_DOCS).collect()]
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_size: int = SHARD_BYTES, special: bool = False) -> TokenFiles:
     """Encode every whole text with the tokenizers library, append ``end_id`` and write shards in ascending doc_id order.
 
@@ -166,10 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size, n_rows = rows.agg(F.sum(F.length("text").cast("long")), F.count(F.lit(1))).first()
     size = size or 0
-    fits = F.length("text").between(1, SAMPLE_CHARS) & (hash_fraction("doc_id", "text") < min(1.0, 1.5 * SAMPLE_DOCS / max(n_rows, 1)))
-    chosen = rows.where(fits).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    sample = [r["text"] for r in chosen]
-    dictionary = train_dictionary(list(map(LibraryEncoder(body, special).encode, sample))) if sample else b""
+    dictionary = train_dictionary(_sample(rows, n_rows, body, special))
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, top = _open(folder)
     fs.create_dir(top, recursive=True)
