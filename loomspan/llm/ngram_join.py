@@ -23,7 +23,9 @@ that travel with the join keys, then by sketches of about as many bits as the se
 
 *Groups of copies.* Equal sets are one class with one representative and are never paired. In a block that
 many share, only a forest of nearest pairs is verified at first; further pairs are compared only where their
-members are not in one component by then. Large blocks are cut into tiles.
+members are not in one component by then. Large blocks are cut into tiles; members travel to a tile with their
+sketches, those with a near partner there once more with their shingle hashes, and a tile gives back a forest of
+links, so rows grow with members and not with pairs.
 """
 
 from __future__ import annotations
@@ -40,11 +42,13 @@ from loomspan.llm.common import BROADCAST_IDS, Scratch, components, hash_fractio
 
 #: Rows of a block up to which all its pairs are compared at once; larger blocks are cut into tiles of about this size.
 TILE = 512
+#: Shingles of a tile's members, about.
+TILE_HASHES = 1 << 20
 #: Bounded sample that shows common shingles: documents, least share of them, most shingles kept.
 SAMPLE_DOCS, COMMON_SHARE, COMMON_MOST = 2000, 0.002, 200_000
 #: Ratio of the sizes that a band spans, number of dealings, and standard deviations of the number of empty blocks that the spare ones hold.
 BAND, DEALINGS, SPARE_SIGMAS = 1.5, 4, 2.0
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _U = np.uint64
@@ -230,13 +234,17 @@ def _key_rows(docs: DataFrame, width: int, num: int, den: int, common: bytes) ->
 def _common(docs: DataFrame, width: int) -> bytes:
     """Hashes of the shingles in at least COMMON_SHARE of a bounded sample, sorted. Any set of hashes leaves the join exact."""
     share = min(1.0, 1.5 * SAMPLE_DOCS / max(docs.count(), 1))
-    sample = docs.where((F.length("text") < 20_000) & (hash_fraction("doc_id") < share)).select("text", F.xxhash64("doc_id").alias("h"))
-    rows = sample.orderBy("h").limit(SAMPLE_DOCS).collect()
-    if len(rows) < 200:
-        return b""
-    h, n = np.unique(np.concatenate([shingle_hashes(r["text"], width) for r in rows]), return_counts=True)
-    h = h[n >= max(3, COMMON_SHARE * len(rows))]
-    return h[:COMMON_MOST].tobytes()
+    sample = docs.where(F.col("text").isNotNull() & (hash_fraction("doc_id") < share)).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                h = shingle_hashes(text.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+
+    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    often = seen.where(F.col("n") >= max(3, math.ceil(COMMON_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").collect()
+    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64)).tobytes()
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -250,8 +258,11 @@ def _fits(i: np.ndarray, j: np.ndarray, x: dict[str, np.ndarray], num: int, den:
     return (far <= (den - num) * (n + m) // (den + num)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num), far
 
 
-def _scan(num: int, den: int):
-    """A function over rows (key, a, n, s1, s2) sorted by key: kind 0: a pair to verify; 1: a member of a block with pairs left to compare."""
+def _scan(num: int, den: int, every: bool = False):
+    """A function over rows (key, a, n, s1, s2) sorted by key: kind 0: a pair to verify; 1: a member of a block with pairs left to compare.
+
+    Of a dense block's pairs only a forest of nearest ones comes out; with ``every`` none of them, for all will be compared in tiles.
+    """
     names = ["key", "a", "n", "s1", "s2"]
 
     def work(x: dict[str, np.ndarray], more: bool) -> list[tuple]:
@@ -275,7 +286,7 @@ def _scan(num: int, den: int):
             dense = (count > 4 * members) | more
             nearest = np.full(size, 1 << 40)
             np.minimum.at(nearest, b, (far << 20) + (b - a))
-            keep = ~dense[run[a]] | (nearest[b] == (far << 20) + (b - a))
+            keep = ~dense[run[a]] | (nearest[b] == (far << 20) + (b - a)) & (not every)
             out.append((0, a[keep], b[keep]))
             if dense.any():
                 out.append((1, np.flatnonzero(dense[run]), None))
@@ -329,37 +340,151 @@ def _scan(num: int, den: int):
     return run
 
 
-def _cross(num: int, den: int):
-    """A function over rows (key, p, q, a, n, s1, s2, comp) sorted by (key, p, q): pairs of different components that may link."""
-    names = ["key", "p", "q", "a", "n", "s1", "s2", "comp"]
+class _Tile:
+    """Members of one part of a block: ids, sizes, components and whole sketches, folded to one length."""
+
+    def __init__(self, x: dict[str, list], num: int, den: int):
+        self.a, self.n = np.array(x["a"], np.int64), np.array(x["n"], np.int64)
+        self.num, self.den = num, den
+        self.comp = np.unique(np.array(x["comp"], np.int64), return_inverse=True)[1]
+        length = min(map(len, x["bits"]))
+        self.bits = np.stack([_folded(b, length) for b in x["bits"]])
+
+    def partners(self, i: int, apart: bool) -> np.ndarray:
+        """Later members that may link with member i by size and sketch; apart: those of other components only."""
+        n, m = self.n[i], self.n[i + 1 :]
+        ok = np.minimum(n, m) * self.den >= np.maximum(n, m) * self.num
+        if apart:
+            ok &= self.comp[i + 1 :] != self.comp[i]
+        at = np.flatnonzero(ok)
+        far = np.bitwise_count(self.bits[i + 1 + at] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        return at[far <= (self.den - self.num) * (n + m[at]) // (self.den + self.num)] + i + 1
+
+
+def _folded(sketch: bytes, length: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > length:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each (key, p, q) of sorted batches, as lists by column."""
+    held, at = None, None
+    for batch in batches:
+        x = batch.to_pydict()
+        ids = list(zip(x["key"], x["p"], x["q"]))
+        lo = 0
+        while lo < len(ids):
+            hi = lo + 1
+            while hi < len(ids) and ids[hi] == ids[lo]:
+                hi += 1
+            part = {k: v[lo:hi] for k, v in x.items()}
+            if ids[lo] == at:
+                held = {k: held[k] + v for k, v in part.items()}
+            else:
+                if held:
+                    yield held
+                held, at = part, ids[lo]
+            lo = hi
+    if held:
+        yield held
+
+
+_TILE_ROW = "key long, p long, q long, a long, n long, comp long, bits binary"
+
+
+def _hopeful(num: int, den: int, apart: bool):
+    """A function over the rows of tiles: those members that may link with another of their tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        for x in _by_tile(batches):
+            tile, some = _Tile(x, num, den), np.zeros(len(x["a"]), bool)
+            for i in range(len(some)):
+                near = tile.partners(i, apart)
+                some[near] = True
+                some[i] |= len(near) > 0
+            if some.any():
+                yield pa.RecordBatch.from_pydict(x).filter(pa.array(some))
 
-        def give(x):
-            a, b = np.triu_indices(len(x["a"]), 1)
-            keep = x["comp"][a] != x["comp"][b]
-            a, b = a[keep], b[keep]
-            ok, _ = _fits(a, b, x, num, den)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x["a"][a[ok]]), pa.array(x["a"][b[ok]])], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            x = {k: batch.column(p).to_numpy() for p, k in enumerate(names)}
-            if held:
-                x = {k: np.concatenate([held[k], v]) for k, v in x.items()}
-            new = np.ones(len(x["a"]), bool)
-            new[1:] = np.any([x[k][1:] != x[k][:-1] for k in ("key", "p", "q")], axis=0)
-            at = [*np.flatnonzero(new).tolist()]
-            for lo, hi in zip(at, at[1:]):
-                yield from give({k: v[lo:hi] for k, v in x.items()})
-            held = {k: v[at[-1] :] for k, v in x.items()} if at else None
-        if held:
-            yield from give(held)
+
+def _linked(num: int, den: int, apart: bool):
+    """A function over the rows of tiles with the members' shingle hashes: links (a, b) by exact comparison.
+
+    apart: members of one component, given or found so far, aren't compared any more, so that fewer links than members come out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _by_tile(batches):
+            tile = _Tile(x, num, den)
+            sets = [np.frombuffer(h, np.uint64) for h in x["hashes"]]
+            sizes = np.array([len(h) for h in sets])
+            words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            mark, a, b = np.zeros(len(words), bool), [], []
+            for i in range(len(sets)):
+                near = tile.partners(i, apart)
+                if not len(near):
+                    continue
+                own = ids[starts[i] : starts[i + 1]]
+                mark[own] = True
+                for j in near:
+                    if apart and tile.comp[i] == tile.comp[j]:
+                        continue
+                    same = int(np.count_nonzero(mark[ids[starts[j] : starts[j + 1]]]))
+                    if den * same >= num * (sizes[i] + sizes[j] - same):
+                        a.append(tile.a[i])
+                        b.append(tile.a[j])
+                        if apart:
+                            tile.comp[tile.comp == tile.comp[j]] = tile.comp[i]
+                mark[own] = False
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
     return run
 
 
+def _tiles(dense: DataFrame, sketch: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of all pairs of tiles of the blocks in ``dense`` (key, a): _TILE_ROW. Without ``comps`` (id, comp) each member is its own component.
+
+    Blocks of one component have nothing left to compare, and of blocks with the same members one is enough.
+    A block is cut into tiles of about TILE members and TILE_HASHES shingles.
+    """
+    ids = dense.select(F.col("a").alias("doc_id")).distinct()
+    member = sketch.where("n > 0").select("doc_id", "n", "bits").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "a")
+    if comps is not None:
+        member = member.join(comps.select(F.col("id").alias("a"), "comp"), "a", "left")
+    else:
+        member = member.withColumn("comp", F.lit(None).cast("long"))
+    rows = dense.select("key", "a").join(member.withColumn("comp", F.coalesce("comp", "a")), "a")
+    block = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all_"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_xor(xxhash64(a))").alias("x1"), F.expr("bit_xor(xxhash64(a, 1))").alias("x2"))
+    block = block.where("lo <> hi").groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("all_").alias("all_"))
+    block = block.select("key", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("all_") / TILE_HASHES)).cast("long").alias("g"))
+    rows = rows.join(block, "key").withColumn("t", F.pmod(F.xxhash64("a", "key"), "g"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    return rows.select("key", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "a", "n", "comp", "bits")
+
+
+def _crossing(docs: DataFrame, tiles: DataFrame, scratch: Scratch, width: int, num: int, den: int, apart: bool) -> DataFrame:
+    """Links (a, b) between members of a tile. Rows go by tile, never by pair: first the members with a sketch near another's, then these with their shingle hashes."""
+    keys = ["key", "p", "q"]
+    hopeful = scratch.cut(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_hopeful(num, den, apart), _TILE_ROW), "hopeful")
+    ids = hopeful.select(F.col("a").alias("doc_id")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                hashes = [shingle_hashes(t.as_py(), width).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["a", "hashes"])
+
+    hashes = only_ids(docs.select("doc_id", "text"), "doc_id", ids, hopeful.count()).dropDuplicates(["doc_id"]).mapInArrow(run, "a long, hashes binary")
+    both = hopeful.join(hashes, "a").select(*keys, "a", "n", "comp", "bits", "hashes")
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(num, den, apart), "a long, b long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose texts link. ``pairs``: a written table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -380,7 +505,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, count_links: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Documents link when ``den * |A & B| >= num * |A | B|`` over their distinct shingles of ``width`` words
@@ -389,7 +514,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     Null, empty and blank texts have no shingles and link with nothing: component_id is their own doc_id.
     Repeated rows are returned as often as they come; equal doc_ids are one document. A row without doc_id
     links no others; it gets the component of an equal set, else null. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. With ``count_links`` every candidate pair is verified, and n_links is added: the other rows that a
+    row links with directly, those of an equal set included.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -402,7 +528,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     few = copies.count() <= BROADCAST_IDS
     reps = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", "text")
     rows = _key_rows(reps, width, num, den, _common(docs, width))
-    scanned = rows.repartition(F.col("key")).sortWithinPartitions("key", "a").mapInArrow(_scan(num, den), "kind long, key long, a long, b long, n long, s1 long, s2 long")
+    scanned = rows.repartition(F.col("key")).sortWithinPartitions("key", "a").mapInArrow(_scan(num, den, count_links), "kind long, key long, a long, b long, n long, s1 long, s2 long")
     scan = scratch.cut(scanned, "scan")
     del rows, scanned
     release(spark)
@@ -413,21 +539,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     links = scratch.cut(_verified(docs, near, width, num, den), "links")
     comps = scratch.cut(components(spark, links, scratch), "comps")
 
-    dense = scan.where("kind = 1").select("key", "a", "n", "s1", "s2").distinct()
-    dense = dense.join(comps.select(F.col("id").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    dense = scratch.cut(dense, "dense")
-    open_ = dense.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.col("m") / TILE).cast("long").alias("g"))
-    tiles = dense.join(open_, "key").withColumn("t", F.pmod(F.xxhash64("a", "key"), "g"))
-    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    tiles = tiles.select("key", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "a", "n", "s1", "s2", "comp")
-    crossing = tiles.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_cross(num, den), "a long, b long")
-    rest = scratch.cut(ordered(crossing).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        near = scratch.cut(_near(rest, sketch, num, den), "near2")
-        links = links.union(scratch.cut(_verified(docs, near, width, num, den), "more"))
+    dense = scratch.cut(scan.where("kind = 1").select("key", "a").distinct(), "dense")
+    tiles = _tiles(dense, sketch, None if count_links else comps)
+    more = scratch.cut(_crossing(docs, tiles, scratch, width, num, den, not count_links), "more")
+    if not more.isEmpty():
+        links = links.union(more)
         comps = scratch.cut(components(spark, links, scratch), "comps2")
     roots = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     roots = roots.select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component_id"))
+    if count_links:
+        once = ordered(links)
+        m = classes.select(F.col("rep").alias("other"), "m")
+        both = once.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(once.select("b", "a")).join(m, "other").groupBy("rep").agg(F.sum("m").alias("others"))
+        own = classes.join(both, "rep", "left").select("f1", "f2", "n", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+        roots = roots.join(own, ["f1", "f2", "n"])
     out = sketch.select("doc_id", "n", "f1", "f2").join(roots, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    return out.select(*cols, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))
