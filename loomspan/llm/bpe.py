@@ -24,8 +24,9 @@ from loomspan.llm.common import ship
 
 #: Texts longer than this are split into pieces lazily, so that the pieces of a huge text aren't held at once.
 LAZY_CHARS = 1 << 20
-#: Pieces whose ids are kept in a worker's memory, and the longest piece that is kept.
-CACHED_PIECES, CACHED_CHARS = 300_000, 64
+#: Bytes of a worker's memory that one generation of remembered pieces takes at most, what an entry takes besides its
+#: characters and ids, the longest piece that is remembered, and most remembered pairs of tokens.
+CACHED_BYTES, ENTRY_BYTES, CACHED_CHARS, KNOWN_PAIRS = 28 << 20, 180, 64, 200_000
 #: Patterns in which a lone space between other characters starts a piece, whatever stands around it.
 SPACE_STARTS_PIECE = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 #: Vocabulary files are broadcast; larger ones are refused.
@@ -87,7 +88,7 @@ class BacktrackBPE:
                         return True
 
     def compatible(self, left: int, right: int) -> bool:
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN_PAIRS:
             self.known.clear()
         known = self.known[left, right] = self._compatible(left, right)
         return known
@@ -130,20 +131,26 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Recent(dict):
-    """A cache of two generations: when the younger is full it becomes the older, and hits there are moved back."""
+    """A cache of two generations of CACHED_BYTES each: when the younger is full it becomes the older, and hits there are moved back."""
 
-    def __init__(self, compute, size: int):
-        self.compute, self.size, self.old = compute, size, {}
+    def __init__(self, compute):
+        self.compute, self.held, self.old = compute, 0, {}
 
     def __missing__(self, key):
         out = self.old[key] if key in self.old else self.compute(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= self.size:
+            self.held += ENTRY_BYTES + len(key) + len(out or b"")
+            if self.held > CACHED_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.old = 0, {}
+
 
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers; ``encode_piece`` gives those of one piece.
@@ -157,8 +164,12 @@ class PieceEncoder:
         import regex
 
         self.pattern, self.splits = regex.compile(pattern), pattern in SPACE_STARTS_PIECE
-        self.pieces = _Recent(encode_piece, CACHED_PIECES)
-        self.parts = _Recent(self._part, CACHED_PIECES)
+        self.pieces, self.parts = _Recent(encode_piece), _Recent(self._part)
+
+    def forget(self) -> None:
+        """Give the remembered ids' memory back: a worker process goes on to other tasks."""
+        self.pieces.forget()
+        self.parts.forget()
 
     def _part(self, part: str) -> bytes | None:
         return self._whole(" " + part) if part and part.strip() == part else None
@@ -200,14 +211,14 @@ def _vocabulary(path: str) -> bytes:
 
 
 def _mapped(df: DataFrame, column: str, into: dict[str, str], make) -> DataFrame:
-    """Add columns ``into`` (name: type) that ``make(value)`` returns for each value of ``column``, in Arrow batches."""
+    """Add columns ``into`` (name: type) that the function ``make()[0]`` returns for each value of ``column``, in Arrow batches; ``make()[1]`` is called at the end."""
     if clash := set(into) & set(df.columns):
         df = df.drop(*clash)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} {v}" for k, v in into.items()])
     kinds = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work, done = make()
         for batch in batches:
             # long texts come in batches of 10,000 rows at most; results leave in smaller ones
             for lo in range(0, batch.num_rows, 512):
@@ -215,6 +226,7 @@ def _mapped(df: DataFrame, column: str, into: dict[str, str], make) -> DataFrame
                 rows = [work(x.as_py()) for x in part.column(part.schema.get_field_index(column))]
                 new = [pa.array([r[k] for r in rows], type=kinds[v]) for k, v in enumerate(into.values())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *into])
+        done()
 
     return df.mapInArrow(run, schema)
 
@@ -236,7 +248,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
             ids = encoder.encode(value or "")
             return len(ids) // 4, ids
 
-        return work
+        return work, encoder.forget
 
     return _mapped(df, text, {"n_tokens": "long", "token_ids": "binary"}, make)
 
@@ -248,7 +260,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
 
     def make():
         tokens = read_ranks(body.value)
-        return lambda value: (b"".join(map(tokens.__getitem__, np.frombuffer(value or b"", dtype="<u4").tolist())),)
+        return lambda value: (b"".join(map(tokens.__getitem__, np.frombuffer(value or b"", dtype="<u4").tolist())),), lambda: None
 
     return _mapped(df, ids, {"decoded": "binary"}, make)
 
