@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ship
+from loomspan.llm.common import ship, tidy
 
 #: Texts longer than this are split into pieces lazily, so that the pieces of a huge text aren't held at once.
 LAZY_CHARS = 1 << 20
 #: Bytes of a worker's memory that one generation of remembered pieces takes at most, what an entry takes besides its
 #: characters and ids, the longest piece that is remembered, and most remembered pairs of tokens.
-CACHED_BYTES, ENTRY_BYTES, CACHED_CHARS, KNOWN_PAIRS = 28 << 20, 180, 64, 200_000
+CACHED_BYTES, ENTRY_BYTES, CACHED_CHARS, KNOWN_PAIRS = 14 << 20, 180, 64, 150_000
 #: Patterns in which a lone space between other characters starts a piece, whatever stands around it.
 SPACE_STARTS_PIECE = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 #: Vocabulary files are broadcast; larger ones are refused.
@@ -131,16 +131,16 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Recent(dict):
-    """A cache of two generations of CACHED_BYTES each: when the younger is full it becomes the older, and hits there are moved back."""
+    """A cache of two generations of ``size`` bytes each: when the younger is full it becomes the older, and hits there are moved back."""
 
-    def __init__(self, compute):
-        self.compute, self.held, self.old = compute, 0, {}
+    def __init__(self, compute, size: int):
+        self.compute, self.size, self.held, self.old = compute, size, 0, {}
 
     def __missing__(self, key):
         out = self.old[key] if key in self.old else self.compute(key)
         if len(key) <= CACHED_CHARS:
             self.held += ENTRY_BYTES + len(key) + len(out or b"")
-            if self.held > CACHED_BYTES:
+            if self.held > self.size:
                 self.old = dict(self)
                 self.clear()
                 self.held = 0
@@ -160,11 +160,11 @@ class PieceEncoder:
     which some part has white space at an end go through the pattern as a whole.
     """
 
-    def __init__(self, encode_piece, pattern: str):
+    def __init__(self, encode_piece, pattern: str, cached: int = CACHED_BYTES):
         import regex
 
         self.pattern, self.splits = regex.compile(pattern), pattern in SPACE_STARTS_PIECE
-        self.pieces, self.parts = _Recent(encode_piece), _Recent(self._part)
+        self.pieces, self.parts = _Recent(encode_piece, cached), _Recent(self._part, cached)
 
     def forget(self) -> None:
         """Give the remembered ids' memory back: a worker process goes on to other tasks."""
@@ -228,7 +228,7 @@ def _mapped(df: DataFrame, column: str, into: dict[str, str], make) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *into])
         done()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:

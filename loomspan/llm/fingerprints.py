@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, ship
+from loomspan.llm.common import Scratch, ship, tidy
 
 FINGERPRINT_BITS, LEAD = 128, 3
 #: Texts of fewer bytes also give runs of four bytes.
@@ -141,7 +141,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
             yield out([(last[0], len(last[1]), None, last[2].hex(), None, None, None)], first, last[1])
 
     scratch = Scratch(spark)
-    main = scratch.cut(dealt.mapInArrow(run, f"{_FIELDS}, part long, first_text string, last_text string"), "main")
+    main = scratch.cut(dealt.mapInArrow(tidy(run), f"{_FIELDS}, part long, first_text string, last_text string"), "main")
     ends = main.where("last_text is not null")
     parts = sorted(r["part"] for r in ends.select("part").collect())  # one small number per partition
     if not parts:
@@ -156,7 +156,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*done), _KINDS)], names=_NAMES)
 
-    return main.where("last_text is null").select(*_NAMES).union(seams.mapInArrow(finish, _FIELDS))
+    return main.where("last_text is null").select(*_NAMES).union(seams.mapInArrow(tidy(finish), _FIELDS))
 
 
 def _word(hex_: Column, k: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import crc_mod, hash_fraction, ship
+from loomspan.llm.common import crc_mod, hash_fraction, ship, tidy
 
 #: Bounded training sample: documents for each language, and windows of each, drawn from the whole text.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 24
@@ -227,7 +227,7 @@ def training_sample(docs: DataFrame, usable: Column) -> tuple[list[tuple[np.ndar
                 x, w = drawn_windows(text.as_py().encode(), h)
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (h, lang, x.tobytes(), w.astype(np.uint8).tobytes())], names=["h", "lang", "x", "w"])
 
-    got = got.mapInArrow(draw, "h long, lang string, x binary, w binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    got = got.mapInArrow(tidy(draw), "h long, lang string, x binary, w binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_DOCS * len(counts)).collect()
     part = lambda b: np.frombuffer(b, np.uint8).reshape(-1, WINDOW)
     return [(part(r["x"]), part(r["w"]).astype(np.float32)) for r in got], [r["lang"] for r in got]
 
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, usable: Column | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "lang_score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "lang_score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import BROADCAST_IDS, Scratch, components, hash_fraction, only_ids, release, ship
+from loomspan.llm.common import BROADCAST_IDS, Scratch, components, hash_fraction, only_ids, release, ship, tidy
 
 #: Rows of a block up to which all its pairs are compared at once; larger blocks are cut into tiles of about this size.
 TILE = 512
@@ -189,7 +189,7 @@ def _near(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
             keep = [sketch_distance(x, y) <= (den - num) * (n + m) // (den + num) for n, m, x, y in zip(na, nb, sa, sb)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                 out[1:, k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, bits binary")
 
 
 def _key_rows(docs: DataFrame, width: int, num: int, den: int, common: bytes) -> DataFrame:
@@ -228,7 +228,7 @@ def _key_rows(docs: DataFrame, width: int, num: int, den: int, common: bytes) ->
                 cols = [np.repeat(c, times) for c in (ids, *np.array(fixed, np.int64).T)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, cols)], names=["key", "a", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "key long, a long, n long, s1 long, s2 long")
+    return docs.mapInArrow(tidy(run), "key long, a long, n long, s1 long, s2 long")
 
 
 def _common(docs: DataFrame, width: int) -> bytes:
@@ -242,7 +242,7 @@ def _common(docs: DataFrame, width: int) -> bytes:
                 h = shingle_hashes(text.as_py(), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
-    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    seen = sample.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= max(3, math.ceil(COMMON_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").collect()
     return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64)).tobytes()
 
@@ -470,7 +470,7 @@ def _tiles(dense: DataFrame, sketch: DataFrame, comps: DataFrame | None) -> Data
 def _crossing(docs: DataFrame, tiles: DataFrame, scratch: Scratch, width: int, num: int, den: int, apart: bool) -> DataFrame:
     """Links (a, b) between members of a tile. Rows go by tile, never by pair: first the members with a sketch near another's, then these with their shingle hashes."""
     keys = ["key", "p", "q"]
-    hopeful = scratch.cut(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_hopeful(num, den, apart), _TILE_ROW), "hopeful")
+    hopeful = scratch.cut(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_hopeful(num, den, apart)), _TILE_ROW), "hopeful")
     ids = hopeful.select(F.col("a").alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,9 +480,9 @@ def _crossing(docs: DataFrame, tiles: DataFrame, scratch: Scratch, width: int, n
                 hashes = [shingle_hashes(t.as_py(), width).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["a", "hashes"])
 
-    hashes = only_ids(docs.select("doc_id", "text"), "doc_id", ids, hopeful.count()).dropDuplicates(["doc_id"]).mapInArrow(run, "a long, hashes binary")
+    hashes = only_ids(docs.select("doc_id", "text"), "doc_id", ids, hopeful.count()).dropDuplicates(["doc_id"]).mapInArrow(tidy(run), "a long, hashes binary")
     both = hopeful.join(hashes, "a").select(*keys, "a", "n", "comp", "bits", "hashes")
-    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(num, den, apart), "a long, b long")
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_linked(num, den, apart)), "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -502,7 +502,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
                 keep.append(den * same >= num * (len(h) + len(g) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, count_links: bool = False) -> DataFrame:
@@ -528,7 +528,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     few = copies.count() <= BROADCAST_IDS
     reps = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", "text")
     rows = _key_rows(reps, width, num, den, _common(docs, width))
-    scanned = rows.repartition(F.col("key")).sortWithinPartitions("key", "a").mapInArrow(_scan(num, den, count_links), "kind long, key long, a long, b long, n long, s1 long, s2 long")
+    scanned = rows.repartition(F.col("key")).sortWithinPartitions("key", "a").mapInArrow(tidy(_scan(num, den, count_links)), "kind long, key long, a long, b long, n long, s1 long, s2 long")
     scan = scratch.cut(scanned, "scan")
     del rows, scanned
     release(spark)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import crc_mod, hash_fraction, ship
+from loomspan.llm.common import crc_mod, hash_fraction, ship, tidy
 
 #: log2 of the feature space; bounded training sample: rows of each label; passes and cost of the hinge-loss fit; smoothing of the counts.
 BITS, SAMPLE_ROWS, PASSES, COST, SMOOTH = 18, 4000, 12, 1.0, 1.0
@@ -150,7 +150,7 @@ def _mapped(df: DataFrame, added: str, make) -> DataFrame:
                 new = pa.array([work(features(t.as_py())) for t in part.column(place)], pa.float64() if kind == "double" else pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added]))
+    return df.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added]))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.bpe import PieceEncoder
-from loomspan.llm.common import Scratch, hash_fraction, ship
+from loomspan.llm.common import Scratch, hash_fraction, ship, tidy
 
 MAGIC = b"LSTK0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8")])
@@ -39,6 +39,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("of
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2048, 64 << 10
 #: Texts (bytes, roughly) that go into one shard.
 SHARD_BYTES = 24 << 20
+#: Bytes of one generation of remembered ids (see ``bpe``).
+CACHED_BYTES = 32 << 20
 #: The fixed pattern of byte-level pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -61,7 +63,7 @@ class LibraryEncoder(PieceEncoder):
         kind = self.tokenizer.pre_tokenizer
         self.by_piece = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
-        super().__init__(self.of_piece, BYTE_LEVEL_PATTERN)
+        super().__init__(self.of_piece, BYTE_LEVEL_PATTERN, CACHED_BYTES)
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -165,7 +167,7 @@ def _sample(rows: DataFrame, n_rows: int, body: bytes, special: bool) -> list[by
                 at = 4 * (h % max(1, len(ids) // 4 - SAMPLE_IDS + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([ids[at : at + 4 * SAMPLE_IDS]], pa.binary())], names=["h", "ids"])
 
-    return [r["ids"] for r in drawn.mapInArrow(cut, "h long, ids binary").orderBy("h", "ids").limit(2 * SAMPLE_DOCS).collect()]
+    return [r["ids"] for r in drawn.mapInArrow(tidy(cut), "h long, ids binary").orderBy("h", "ids").limit(2 * SAMPLE_DOCS).collect()]
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_size: int = SHARD_BYTES, special: bool = False) -> TokenFiles:
@@ -213,7 +215,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_
         total = sum(len(ids) for _, ids in docs) // 4
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(docs)]), pa.array([total])], names=["part", "name", "n_docs", "n_tokens"])
 
-    done = sorted(dealt.mapInArrow(put, "part long, name string, n_docs long, n_tokens long").collect())
+    done = sorted(dealt.mapInArrow(tidy(put), "part long, name string, n_docs long, n_tokens long").collect())
     shards, before = [], 0
     for _, name, n_docs, n_tokens in done:
         shards.append((name, n_docs, before))
