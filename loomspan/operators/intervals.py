@@ -263,7 +263,8 @@ def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     An overlapper if there is one (the first by start, end, name), else the nearer of the row of ``b`` before it,
     the last by (start, end, name), and the row after it; a tie goes to the one before. No row on the chromosome: null.
     """
-    hits = overlap_join(a, b).groupBy("name").agg(F.min(F.struct("o_start", "o_end", "o_name")).alias("hit"))
+    place = ["chr", "start", "end"]  # rows of one place share their overlapper
+    hits = overlap_join(a.select(*place).distinct(), b).groupBy(*place).agg(F.min(F.struct("o_start", "o_end", "o_name")).alias("hit"))
     row = F.struct("start", "end", "name")
     both = a.select("chr", "start", "end", "name", F.lit(1).alias("own")).union(b.select("chr", "start", "end", "name", F.lit(0)))
     both = both.withColumn("row", F.when(F.col("own") == 0, row)).withColumn("span_", _span("start"))
@@ -272,7 +273,7 @@ def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     w = Window.partitionBy("chr", "span_").orderBy("start", "end", "own")
     prev = F.coalesce(F.max("row").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("left_"))
     nxt = F.coalesce(F.min("row").over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("right_"))
-    x = both.withColumns({"p": prev, "q": nxt}).where("own = 1").select("chr", "start", "end", "name", "p", "q").join(hits, "name", "left")
+    x = both.withColumns({"p": prev, "q": nxt}).where("own = 1").select("chr", "start", "end", "name", "p", "q").join(hits, place, "left")
     gap = lambda c: F.when(F.col(c).isNotNull(), distance(F.col("start"), F.col("end"), F.col(f"{c}.start"), F.col(f"{c}.end")))
     x = x.withColumns({"dp": gap("p"), "dq": gap("q")})
     first = F.col("dp").isNotNull() & (F.col("dq").isNull() | (F.col("dp") <= F.col("dq")))
@@ -289,13 +290,12 @@ def upstream_downstream(a: DataFrame, b: DataFrame) -> DataFrame:
     both = both.withColumn("row", F.when(F.col("kind") == 1, F.struct("pos", "end"))).withColumn("span_", _span("pos"))
     both = carried(both, ["chr"], "span_", {"max:left_": F.col("row")})
     w = Window.partitionBy("chr", "span_").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    up = both.withColumn("u", F.coalesce(F.max("row").over(w), F.col("left_"))).where("kind = 0").select("name", F.col("u.end").alias("upstream"))
-    after = a.select("chr", (F.col("end") + 1).alias("pos"), "name", F.lit(0).alias("kind")).union(b.select("chr", "start", F.lit(None).cast("string"), F.lit(1)))
+    up = both.withColumn("u", F.coalesce(F.max("row").over(w), F.col("left_"))).where("kind = 0").select("chr", "end", "name", F.col("u.end").alias("upstream"))
+    after = up.select("chr", (F.col("end") + 1).alias("pos"), "name", "upstream", F.lit(0).alias("kind")).union(b.select("chr", "start", F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(1)))
     after = after.withColumn("row", F.when(F.col("kind") == 1, F.col("pos"))).withColumn("span_", _span("pos"))
     after = carried(after, ["chr"], "span_", {"min:right_": F.col("row")}, after=True)
     v = Window.partitionBy("chr", "span_").orderBy("pos", "kind").rowsBetween(1, Window.unboundedFollowing)
-    down = after.withColumn("d", F.coalesce(F.min("row").over(v), F.col("right_"))).where("kind = 0").select("name", F.col("d").alias("downstream"))
-    return up.join(down, "name")
+    return after.withColumn("d", F.coalesce(F.min("row").over(v), F.col("right_"))).where("kind = 0").select("name", "upstream", F.col("d").alias("downstream"))
 
 
 # ---- windows over positions ----

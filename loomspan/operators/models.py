@@ -43,13 +43,35 @@ def k_means(df: DataFrame, vector: str, centroids: list[list[float]], metric: Ca
     return nearest_centroid(df, vector, centroids, metric), centroids
 
 
-def silhouette(df: DataFrame, vector: str, metric: Callable[[Column, Column], Column]) -> DataFrame:
-    """(id, cluster, s) for a table small enough to compare every pair (id, cluster, vector); the own cluster's mean includes the row itself."""
-    other = df.select(F.col("id").alias("o_id"), F.col("cluster").alias("o_cluster"), F.col(vector).alias("o_vector"))
-    p = df.crossJoin(other).withColumn("d", metric(F.col(vector), F.col("o_vector"))).groupBy("id", "cluster", "o_cluster").agg(F.avg("d").alias("d"))
-    own = F.max(F.when(F.col("cluster") == F.col("o_cluster"), F.col("d")))
-    out = F.min(F.when(F.col("cluster") != F.col("o_cluster"), F.col("d")))
-    return p.groupBy("id", "cluster").agg(own.alias("a"), out.alias("b")).select("id", "cluster", ((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((b - row) ** 2).sum(axis=1) for row in a]))
+
+
+def silhouette(df: DataFrame, vector: str, metric=_euclidean, block: int = 512) -> DataFrame:
+    """(id, cluster, s) of rows (id, cluster, vector): (b - a) / max(a, b) with a the mean distance to the own cluster, itself included, b the least mean to another.
+
+    Rows are dealt into blocks by the hash of their id, and every pair of blocks is one task's work; sums and
+    numbers for each (row, cluster) leave a task, never pairs. ``metric``: distances (rows of a, rows of b).
+    """
+    g = max(1, -(-df.count() // block))
+    x = df.select("id", "cluster", F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(g)).alias("t"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+    sides = x.select("id", "cluster", "v", F.col("t").alias("p"), every.alias("q"), F.lit(0).alias("side")).union(x.select("id", "cluster", "v", every.alias("p"), F.col("t").alias("q"), F.lit(1).alias("side")))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "cluster": [], "other": [], "total": [], "n": []})
+        d = metric(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
+        kinds, at = np.unique(b["cluster"].to_numpy(), return_inverse=True)
+        out = [pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": kind, "total": d[:, at == k].sum(axis=1), "n": int((at == k).sum())}) for k, kind in enumerate(kinds)]
+        return pd.concat(out, ignore_index=True)
+
+    kind = df.schema["id"].dataType.simpleString()
+    per = sides.groupBy("p", "q").applyInPandas(sums, f"id {kind}, cluster int, other int, total double, n long")
+    means = per.groupBy("id", "cluster", "other").agg((F.sum("total") / F.sum("n")).alias("d"))
+    own, other = F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d")))
+    return means.groupBy("id", "cluster").agg(own.alias("a"), other.alias("b")).select("id", "cluster", ((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
 
 def agglomerate(distance: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float, int]]:

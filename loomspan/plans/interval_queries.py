@@ -74,7 +74,7 @@ def interval_increment_score(spark, d):
     return a.join(hit, "name", "left").select("name", (F.col("score") + F.coalesce("hit", F.lit(0.0))).alias("score"))
 
 
-@query(f"""{BOTH}, l AS (SELECT i.name AS name, i.s AS s, i.e AS e, i.chr AS chr FROM items i WHERE i.score = 7),
+@query(f"""{BOTH}, l AS (SELECT i.name AS name, i.s AS s, i.e AS e, i.chr AS chr FROM items i),
 b AS (SELECT l.name, arg_max(o.name, {{'s': o.s, 'e': o.e, 'n': o.name}}) AS p, max({{'s': o.s, 'e': o.e, 'n': o.name}}) AS ps FROM l JOIN spans o ON o.chr = l.chr AND (o.s < l.s OR (o.s = l.s AND o.e <= l.e)) GROUP BY l.name),
 f AS (SELECT l.name, min({{'s': o.s, 'e': o.e, 'n': o.name}}) AS qs FROM l JOIN spans o ON o.chr = l.chr AND (o.s > l.s OR (o.s = l.s AND o.e > l.e)) GROUP BY l.name),
 h AS (SELECT l.name, min({{'s': o.s, 'e': o.e, 'n': o.name}}) AS hs FROM l JOIN spans o ON o.chr = l.chr AND l.s < o.e AND l.e > o.s GROUP BY l.name),
@@ -82,13 +82,13 @@ z AS (SELECT l.*, ps, qs, hs, greatest(l.s - ps.e, ps.s - l.e, 0) AS dp, greates
 SELECT name, CASE WHEN hs IS NOT NULL THEN hs.n WHEN ps IS NOT NULL AND (qs IS NULL OR dp <= dq) THEN ps.n ELSE qs.n END AS nearest,
 CASE WHEN hs IS NOT NULL THEN 0 WHEN ps IS NOT NULL AND (qs IS NULL OR dp <= dq) THEN dp WHEN qs IS NOT NULL THEN dq END::BIGINT AS distance FROM z""")
 def interval_nearest(spark, d):
-    return iv.nearest(items(spark, d).where("score = 7"), spans(spark, d))
+    return iv.nearest(items(spark, d), spans(spark, d))
 
 
 @query(f"""{BOTH} SELECT name, (SELECT max({{'s': o.s, 'e': o.e}}).e FROM spans o WHERE o.chr = i.chr AND o.s < i.s) AS upstream,
-(SELECT min(o.s) FROM spans o WHERE o.chr = i.chr AND o.s >= i.e + 1) AS downstream FROM items i WHERE score = 7""")
+(SELECT min(o.s) FROM spans o WHERE o.chr = i.chr AND o.s >= i.e + 1) AS downstream FROM items i""")
 def interval_upstream_downstream(spark, d):
-    return iv.upstream_downstream(items(spark, d).where("score = 7"), spans(spark, d))
+    return iv.upstream_downstream(items(spark, d), spans(spark, d))
 
 
 @query(f"""WITH {SPANS}, ev AS (SELECT chr, p, sum(v) AS v FROM (SELECT chr, s AS p, 1 AS v FROM spans UNION ALL SELECT chr, e, -1 FROM spans) GROUP BY chr, p),
@@ -215,7 +215,7 @@ def interval_chromosome_stats(spark, d):
 
 
 @query(f"""WITH {ITEMS}, {SPANS}, z AS (SELECT CASE WHEN dist <= 0 THEN 0 ELSE dist // 100 + 1 END AS bin FROM (
-SELECT i.name, min(greatest(o.s - i.e, i.s - o.e, 0)) AS dist FROM items i JOIN spans o ON o.chr = i.chr WHERE i.score = 7 GROUP BY i.name)) SELECT bin::BIGINT AS bin, count(*) AS n FROM z GROUP BY bin""")
+SELECT i.name, min(greatest(o.s - i.e, i.s - o.e, 0)) AS dist FROM items i JOIN spans o ON o.chr = i.chr GROUP BY i.name, i.chr, i.s, i.e)) SELECT bin::BIGINT AS bin, count(*) AS n FROM z GROUP BY bin""")
 def interval_distance_histogram(spark, d):
-    x = iv.nearest(items(spark, d).where("score = 7"), iv.islands(spans(spark, d)).withColumn("name", F.col("start").cast("string")))
+    x = iv.nearest(items(spark, d), iv.islands(spans(spark, d)).withColumn("name", F.col("start").cast("string")))
     return x.where("distance is not null").groupBy(F.when(F.col("distance") <= 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("distance") / 100).cast("long") + 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -66,12 +66,12 @@ def cluster_k_means(spark, d):
     return md.k_means(e, "v", _first_vectors(spark, d, 5), pr.euclidean, 5)[0].select("vec_id", "cluster", "distance")
 
 
-@query("""WITH e AS (SELECT vec_id AS id, (vec_id % 4)::INTEGER AS cluster, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings WHERE vec_id < 60),
+@query("""WITH e AS (SELECT vec_id AS id, (vec_id % 4)::INTEGER AS cluster, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
 p AS (SELECT a.id, a.cluster, b.cluster AS o, avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))))) AS d FROM e a, e b GROUP BY ALL),
 s AS (SELECT id, cluster, max(d) FILTER (o = cluster) AS a, min(d) FILTER (o <> cluster) AS b FROM p GROUP BY ALL) SELECT id, cluster, round((b - a) / greatest(a, b), 6) AS s FROM s""")
 def cluster_silhouette(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("cluster"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    return md.silhouette(e, "v", pr.euclidean).withColumn("s", F.round("s", 6))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("cluster"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return md.silhouette(e, "v").withColumn("s", F.round("s", 6))
 
 
 @query()
@@ -159,16 +159,16 @@ def graph_frequent_edges(spark, d):
     return md.frequent_edges(md.splice_graph(genes(spark, d))[1], 0.6)
 
 
-_EDGES = "e AS (SELECT o_custkey AS a, 1000000 + o_orderkey // 40 AS b FROM orders WHERE o_orderkey % 3 = 0)"
+_EDGES = "e AS (SELECT o_custkey AS a, 1000000 + o_orderkey // 40 AS b FROM orders)"
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS o FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.o = u.a) SELECT id, min(o) AS comp FROM r GROUP BY id""")
 def graph_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, d, "orders")
     return md.connected(o.select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_orderkey") / 40) + 1000000).cast("long").alias("b")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem WHERE l_orderkey % 97 = 0), p AS (SELECT a, b, 1 AS hops FROM e UNION SELECT p.a, e.b, p.hops + 1 FROM p JOIN e ON p.b = e.a WHERE p.hops < 3) SELECT a, b, min(hops) AS hops FROM p GROUP BY ALL""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem), p AS (SELECT a, b, 1 AS hops FROM e UNION SELECT p.a, e.b, p.hops + 1 FROM p JOIN e ON p.b = e.a WHERE p.hops < 3) SELECT a, b, min(hops) AS hops FROM p GROUP BY ALL""")
 def graph_reach(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey % 97 = 0").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
+    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
     return md.reach(e, 3)
