@@ -321,3 +321,153 @@ def read_dot(spark: SparkSession, path: str) -> DataFrame:
 def write_network(edges: DataFrame, path: str, least: float) -> None:
     """``a<TAB>relation<TAB>b`` lines of edges whose weight is at least ``least`` in size."""
     edges.where(F.abs("weight") >= least).select(F.concat_ws("\t", "a", F.when(F.col("weight") > 0, "up").otherwise("down"), "b")).write.text(path)
+
+
+def above_score(df: DataFrame, least: float) -> DataFrame:
+    """Rows whose score is above ``least``, not equal to it."""
+    return df.where(F.col("score") > least)
+
+
+def in_region(df: DataFrame, chrs: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows on the given chromosomes that overlap [start, end)."""
+    keep = F.col("chr").isin(chrs) if chrs else F.lit(True)
+    if start is not None:
+        keep &= F.col("end") > start
+    if end is not None:
+        keep &= F.col("start") < end
+    return df.where(keep)
+
+
+def read_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """chr, start, end, name, score of a file of the named format: bed, gff, bedgraph, psl."""
+    if kind == "bed":
+        return read_bed(spark, path).select("chr", "start", "end", "name", "score")
+    if kind == "gff":
+        return read_gff(spark, path).select("chr", "start", "end", F.coalesce(F.col("attrs")["ID"], F.lit("")).alias("name"), "score")
+    if kind == "bedgraph":
+        return read_bedgraph(spark, path).select("chr", "start", "end", F.lit("").alias("name"), "score")
+    if kind == "psl":
+        return read_psl(spark, path).select("chr", "start", "end", "name", F.col("matches").cast("double").alias("score"))
+    raise ValueError(f"no reader for {kind}")
+
+
+def write_gff(df: DataFrame, path: str, source: str, feature: str) -> None:
+    """Nine columns of rows (chr, start, end, score, strand, attrs); attributes as ``key=value;`` in order of key."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    df.select(F.concat_ws("\t", "chr", F.lit(source), F.lit(feature), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.col("score").cast("string"), "strand", F.lit("."), pairs)).write.text(path)
+
+
+def _ends(exons: str = "exons") -> tuple[Column, Column]:
+    return F.array_min(F.transform(exons, lambda e: e["start"])), F.array_max(F.transform(exons, lambda e: e["end"]))
+
+
+def write_psl(genes: DataFrame, path: str) -> None:
+    """Alignment rows of 21 columns for models taken as perfect alignments."""
+    lo, hi = _ends()
+    size = F.aggregate("exons", F.lit(0).cast(_BIG), lambda a, e: a + e["end"] - e["start"]).cast("string")
+    sizes = F.concat_ws(",", F.transform("exons", lambda e: (e["end"] - e["start"]).cast("string")))
+    starts = F.concat_ws(",", F.transform("exons", lambda e: e["start"].cast("string")))
+    zero = [F.lit("0")] * 7
+    genes.select(F.concat_ws("\t", size, *zero, "strand", "name", size, F.lit("0"), size, "chr", F.lit("0"), lo.cast("string"), hi.cast("string"), F.size("exons").cast("string"), sizes, F.lit("0"), starts)).write.text(path)
+
+
+def write_sam(genes: DataFrame, path: str, mapq: int = 30) -> None:
+    """Models (name, chr, strand, exons) as spliced alignment rows without sequences."""
+    from loomspan.operators.genes import cigar
+
+    flag = F.when(F.col("strand") == "-", "16").otherwise("0")
+    genes.select(F.concat_ws("\t", "name", flag, "chr", (_ends()[0] + 1).cast("string"), F.lit(str(mapq)), cigar(F.col("exons")), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))).write.text(path)
+
+
+def mate_pairs(left: DataFrame, right: DataFrame, least: int, most: int) -> DataFrame:
+    """Ends (name, chr, strand, start, end, score) that were aligned on their own, matched by name: the best pair on one chromosome and strand.
+
+    distance: from the first base of one to the last of the other, between ``least`` and ``most``. The pair of
+    highest summed score wins, the shorter among equals.
+    """
+    b = right.select("name", "chr", "strand", *[F.col(c).alias(f"r_{c}") for c in ("start", "end", "score")])
+    p = left.join(b, ["name", "chr", "strand"]).withColumn("distance", F.greatest("end", "r_end") - F.least("start", "r_start")).where(F.col("distance").between(least, most))
+    best = F.min_by(F.struct("chr", "strand", "start", "r_start", "distance"), F.struct(-(F.col("score") + F.col("r_score")), "distance", "start", "r_start"))
+    return p.groupBy("name").agg(best.alias("p")).select("name", "p.*")
+
+
+def write_maf(blocks: DataFrame, path: str) -> None:
+    """Alignment blocks (score, rows as ``read_maf`` gives them)."""
+    line = lambda r: F.concat_ws(" ", F.lit("s"), F.concat(r["species"], F.lit("."), r["chr"]), r["start"].cast("string"), r["size"].cast("string"), r["strand"], r["source_size"].cast("string"), r["text"])
+    blocks.select(F.concat_ws("\n", F.concat(F.lit("a score="), F.col("score").cast("string")), F.array_join(F.transform("rows", line), "\n"), F.lit(""))).write.text(path)
+
+
+def write_phylip(rows: DataFrame, path: str) -> None:
+    """Rows (id, text): a line with the number of rows and the longest text, then one line each. One file."""
+    n, most = rows.agg(F.count(F.lit(1)), F.max(F.length("text"))).first()
+    head = rows.sparkSession.createDataFrame([(0, f"{n} {most or 0}")], "k int, value string")
+    head.union(rows.select(F.lit(1), F.concat_ws(" ", "id", "text"))).repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(path)
+
+
+def read_phylip(spark: SparkSession, path: str) -> DataFrame:
+    """id, text of the rows below the head line."""
+    x = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(r"^\s*\d+\s+\d+\s*$"))
+    p = F.split(F.trim("value"), r"\s+", 2)
+    return x.select(p[0].alias("id"), F.regexp_replace(p[1], r"\s", "").alias("text"))
+
+
+def write_matrix(m: DataFrame, path: str, cols: list[str]) -> None:
+    """A tab-separated table with a header and row names first."""
+    m.groupBy("row").pivot("col", cols).agg(F.first("value")).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_cls(spark: SparkSession, path: str, groups: list[tuple[str, str]]) -> None:
+    """The three lines of a phenotype file from (sample, group) in order."""
+    kinds = list(dict.fromkeys(g for _, g in groups))
+    body = f"{len(groups)} {len(kinds)} 1\n# {' '.join(kinds)}\n{' '.join(g for _, g in groups)}"
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+
+
+def read_gmx(spark: SparkSession, path: str) -> DataFrame:
+    """(set_name, gene) of sets written as columns: names, notes, then members, upper-cased. The names are read on the driver."""
+    names = spark.read.text(path).first()["value"].split("\t")
+    notes = spark.read.text(path).limit(2).collect()[1]["value"]
+    x = _fields(spark.read.text(path).where((F.col("value") != "\t".join(names)) & (F.col("value") != notes)))
+    sets = F.array(*map(F.lit, names))
+    x = x.select(F.posexplode("f").alias("k", "gene")).select(F.get(sets, F.col("k")).alias("set_name"), F.upper(F.trim("gene")).alias("gene"))
+    return x.where("gene <> ''")
+
+
+def read_chip(spark: SparkSession, path: str) -> DataFrame:
+    """probe, gene, title of a probe annotation table, the first two upper-cased."""
+    return _fields(_lines(spark, path, "^(#|Probe Set ID)")).select(F.upper(_at(0)).alias("probe"), F.upper(_at(1)).alias("gene"), _at(2).alias("title"))
+
+
+def write_igv(df: DataFrame, path: str) -> None:
+    """Rows (chr, start, end, name, then one column per sample) with a header."""
+    df.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_pwm(df: DataFrame, path: str) -> None:
+    """``>name`` and four tab-separated rows (A, C, G, T) of rows (name, probs)."""
+    lines = F.transform("probs", lambda r: F.array_join(F.transform(r, lambda v: v.cast("string")), "\t"))
+    df.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.array_join(lines, "\n"))).write.text(path)
+
+
+def write_sorted_bed(df: DataFrame, path: str, order: list[Column]) -> None:
+    """Lines in the given order over all files: range-partitioned and sorted."""
+    df.orderBy(*order).select(F.concat_ws("\t", "chr", F.col("start").cast("string"), F.col("end").cast("string"), "name", F.col("score").cast("string"), "strand")).write.text(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the 1-based position of each row in the order: rows are numbered within range partitions, and the sizes of those before are added."""
+    from pyspark.sql import Window
+
+    from loomspan.plans.storage import written
+
+    x = written(df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("id_", F.monotonically_increasing_id()))
+    before = x.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"), F.min("id_").alias("low_"))
+    before = before.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "before_", "low_")
+    return x.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("id_") - F.col("low_") + 1).drop("part_", "id_", "before_", "low_")
+
+
+def write_flat_genes(genes: DataFrame, path: str) -> None:
+    """One line per model: name, chr, strand, start, end, number of exons, comma lists of starts and of ends."""
+    lo, hi = _ends()
+    part = lambda k: F.concat(F.array_join(F.transform("exons", lambda e: e[k].cast("string")), ","), F.lit(","))
+    genes.select(F.concat_ws("\t", "name", "chr", "strand", lo.cast("string"), hi.cast("string"), F.size("exons").cast("string"), part("start"), part("end"))).write.text(path)
