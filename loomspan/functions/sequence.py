@@ -193,3 +193,64 @@ def pwm_best(s: Column, matrix: list[list[float]], background: float = 0.25) ->
     score = lambda t, strand: F.transform(starts, lambda i: F.struct((-F.round(at(t, i), 9)).alias("n"), (i - 1).alias("start"), F.lit(strand).alias("strand")))
     best = F.array_min(F.concat(score(u, "+"), score(v, "-")))
     return F.when(F.length(s) >= w, F.struct((-best["n"]).alias("score"), best["start"].alias("start"), best["strand"].alias("strand")))
+
+
+def mismatches(window: Column, oligo: Column) -> Column:
+    """Places at which two texts of one length differ."""
+    return F.aggregate(F.zip_with(F.split(window, ""), F.split(oligo, ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
+def oligo_places(seq: Column, oligo: str, most: int) -> Column:
+    """0-based places at which ``oligo`` fits with at most ``most`` mismatches, case ignored."""
+    n = len(oligo)
+    every = F.when(F.length(seq) >= n, F.sequence(F.lit(0), F.length(seq) - n)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda k: mismatches(F.upper(seq.substr(k + 1, F.lit(n))), F.lit(oligo.upper())) <= most)
+
+
+def to_sequence(text: Column, place: Column) -> Column:
+    """Place in the sequence without gaps of a place in an aligned text; -1 on a gap."""
+    before = F.length(F.replace(text.substr(F.lit(1), place), F.lit("-"), F.lit("")))
+    return F.when(text.substr(place + 1, F.lit(1)) == "-", F.lit(-1)).otherwise(before)
+
+
+def to_alignment(text: Column, place: Column) -> Column:
+    """Place in an aligned text of a place in its sequence without gaps; -1 outside."""
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda k: (text.substr(k + 1, F.lit(1)) != "-") & (F.length(F.replace(text.substr(F.lit(1), k), F.lit("-"), F.lit(""))) == place))
+    return F.coalesce(F.get(at, F.lit(0)), F.lit(-1))
+
+
+def without_gap_columns(reference: Column, other: Column) -> Column:
+    """The characters of ``other`` at the places where ``reference`` has no gap."""
+    return F.array_join(F.zip_with(F.split(reference, ""), F.split(other, ""), lambda a, b: F.when(a == "-", "").otherwise(b)), "")
+
+
+def information(probs: Column) -> Column:
+    """Information content in bits of each column of a weight matrix (four arrays of probabilities): 2 plus the sum of p log2 p."""
+    part = lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)
+    return F.transform(F.arrays_zip(*[probs[k].alias(f"b{k}") for k in range(4)]), lambda c: F.lit(2.0) + part(c["b0"]) + part(c["b1"]) + part(c["b2"]) + part(c["b3"]))
+
+
+def reverse_complement_matrix(probs: Column) -> Column:
+    """Rows A, C, G, T read backwards and swapped with those of their complements."""
+    return F.transform(F.reverse(probs), lambda row: F.reverse(row))
+
+
+def trimmed_matrix(probs: Column, least: float) -> Column:
+    """Columns from the first to the last one with ``least`` bits."""
+    good = F.transform(information(probs), lambda v: v >= least)
+    first, back = F.array_position(good, True), F.array_position(F.reverse(good), True)
+    return F.transform(probs, lambda row: F.when(first > 0, F.slice(row, first.cast("int"), (F.size(row) - first - back + 2).cast("int"))).otherwise(F.array().cast("array<double>")))
+
+
+def matrix_divergence(p: Column, q: Column) -> Column:
+    """Sum over all cells of p log2(p / q); cells with a zero are skipped."""
+    cell = lambda a, b: F.when((a > 0) & (b > 0), a * F.log2(a / b)).otherwise(0.0)
+    rows = F.zip_with(p, q, lambda a, b: F.aggregate(F.zip_with(a, b, cell), F.lit(0.0), lambda s, v: s + v))
+    return F.aggregate(rows, F.lit(0.0), lambda s, v: s + v)
+
+
+def all_words(spark, k: int, alphabet: str = "ACGT"):
+    """One row (word) for each text of k letters, by digits of a number."""
+    n = len(alphabet)
+    letters = [F.substring(F.lit(alphabet), 1, n).substr((F.floor(F.col("id") / n**p) % n + 1).cast("int"), F.lit(1)) for p in range(k - 1, -1, -1)]
+    return spark.range(n**k).select(F.concat(*letters).alias("word"))

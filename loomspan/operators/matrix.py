@@ -121,3 +121,63 @@ def control_z(m: DataFrame, controls: DataFrame) -> DataFrame:
     """z of each value against the control rows of its column; ``controls`` (row)."""
     c = m.join(controls.select("row").distinct(), "row").groupBy("col").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
     return m.join(F.broadcast(c), "col").select("row", "col", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("value"))
+
+
+def _numbered(m: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name): the 0-based place of each row or column name; one row per name."""
+    return m.select(by).distinct().select(by, (F.row_number().over(Window.orderBy(by)) - 1).alias(name))
+
+
+def submatrix(m: DataFrame, rows: list[int] | None = None, cols: list[str] | None = None) -> DataFrame:
+    """The rows of these places (by name) and the columns of these names."""
+    if cols is not None:
+        m = m.where(F.col("col").isin(cols))
+    if rows is not None:
+        m = m.join(F.broadcast(_numbered(m, "row", "k_").where(F.col("k_").isin(rows)).select("row")), "row", "left_semi")
+    return m.select("row", "col", "value")
+
+
+def by_column(m: DataFrame, col: str, below: float | None = None, above: float | None = None) -> DataFrame:
+    """Rows whose value in column ``col`` is under ``below`` and over ``above``."""
+    keep = m.where(F.col("col") == col)
+    if below is not None:
+        keep = keep.where(F.col("value") < below)
+    if above is not None:
+        keep = keep.where(F.col("value") > above)
+    return m.join(keep.select("row").distinct(), "row", "left_semi").select("row", "col", "value")
+
+
+def non_trivial_columns(m: DataFrame) -> DataFrame:
+    """(col): columns with a value that isn't zero."""
+    return m.where("value <> 0").select("col").distinct()
+
+
+def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of ``b`` under those of ``a``, by position: b's k-th column, by name, becomes a's k-th."""
+    names = _numbered(a, "col", "k_").withColumnRenamed("col", "name_").join(_numbered(b, "col", "k_"), "k_").select("col", "name_")
+    return a.select("row", "col", "value").union(b.join(F.broadcast(names), "col").select("row", "name_", "value"))
+
+
+def sorted_columns(m: DataFrame) -> DataFrame:
+    """(col, rank, value): each column's values in order, on their own; ranks from 0."""
+    return m.select("col", (F.row_number().over(_window("col").orderBy("value", "row")) - 1).alias("rank"), "value")
+
+
+def ranked(m: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """Values replaced by their 0-based rank in their row or column, the mean of the places for ties."""
+    order = F.desc("value") if descending else F.asc("value")
+    w = _window(by)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(by, "value"))
+    return m.withColumn("value", F.rank().over(w.orderBy(order)) - 1 + (ties - 1) / 2.0)
+
+
+def discretised(m: DataFrame, up: float, down: float) -> DataFrame:
+    """1 from ``up`` on, -1 to ``down``, else 0."""
+    return m.withColumn("value", F.when(F.col("value") >= up, 1.0).when(F.col("value") <= down, -1.0).otherwise(0.0))
+
+
+def preprocessed(m: DataFrame, low: float, high: float, fold: float, spread: float) -> DataFrame:
+    """Values cut to [low, high]; rows stay with max / min of ``fold`` and max - min of ``spread`` at least."""
+    x = m.withColumn("value", F.least(F.greatest("value", F.lit(low)), F.lit(high)))
+    most, least = F.max("value").over(_window("row")), F.min("value").over(_window("row"))
+    return x.withColumns({"a_": most / least, "b_": most - least}).where((F.col("a_") >= fold) & (F.col("b_") >= spread)).select("row", "col", "value")

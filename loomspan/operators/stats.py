@@ -219,3 +219,47 @@ def permutation_fdr(observed: DataFrame, permuted: DataFrame, rounds: int) -> Da
     x = both.withColumns({"no": F.sum("o").over(w), "nq": F.sum("q").over(w)}).where("o = 1")
     raw = F.when(F.col("nq") == 0, F.lit(1.0 / rounds)).otherwise(F.col("nq") / F.lit(float(rounds)) / F.col("no"))
     return x.select("name", "x", F.least(F.min(raw).over(Window.orderBy("x", F.desc("name"))), F.lit(1.0)).alias("fdr"))
+
+
+def covariance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Sample covariance and variance's root of two columns for each value of ``by``."""
+    return df.groupBy(by).agg(F.covar_samp(x, y).alias("covariance"), F.stddev_samp(x).alias("sd"))
+
+
+def mean_of_means(df: DataFrame, by: str, group: str, value: str) -> DataFrame:
+    """(by, mean): the mean over the groups' means."""
+    return df.groupBy(by, group).agg(F.avg(value).alias("m")).groupBy(by).agg(F.avg("m").alias("mean"))
+
+
+def symmetric_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
+    """One row: KL(p, q) + KL(q, p) in bits over (bin, p) tables; bins that either lacks are skipped."""
+    x = p.select("bin", F.col("p").alias("a")).join(q.select("bin", F.col("p").alias("b")), "bin").where("a > 0 and b > 0")
+    return x.agg(F.sum(F.col("a") * F.log2(F.col("a") / F.col("b"))).alias("pq"), F.sum(F.col("b") * F.log2(F.col("b") / F.col("a"))).alias("qp")).select((F.col("pq") + F.col("qp")).alias("divergence"))
+
+
+def added_distribution(p: DataFrame, q: DataFrame, pseudo: float = 0.0) -> DataFrame:
+    """(bin, n): the counts of two histograms (bin, n) added bin by bin, with a pseudocount for each bin of either."""
+    return p.select("bin", "n").union(q.select("bin", "n")).groupBy("bin").agg((F.sum("n") + pseudo).alias("n"))
+
+
+def translational_efficiency(counts: DataFrame, least: float) -> DataFrame:
+    """(name, te): (ribo + 1) / (rna + 1) of rows (name, ribo, rna, p) with p below ``least``; -99 for others."""
+    return counts.select("name", F.when(F.col("p") < least, (F.col("ribo") + 1) / (F.col("rna") + 1)).otherwise(-99.0).alias("te"))
+
+
+def release_score(counts: DataFrame) -> DataFrame:
+    """(name, score): (coding + 1) / coding length by (trailing + 1) / trailing length."""
+    return counts.select("name", ((F.col("cds") + 1) / F.col("cds_length") / ((F.col("utr") + 1) / F.col("utr_length"))).alias("score"))
+
+
+def expression_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """``df`` with ``bin``, 0 to bins - 1: equal widths from the least to the largest value."""
+    edge = df.agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+    k = F.least(F.floor((F.col(value) - F.col("lo_")) * bins / (F.col("hi_") - F.col("lo_"))), F.lit(bins - 1)).cast("int")
+    return df.join(F.broadcast(edge)).withColumn("bin", F.coalesce(k, F.lit(0))).drop("lo_", "hi_")
+
+
+def neighbour_correlation(m: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, r): Pearson correlation of two rows' values over the columns of a long matrix, for each pair (a, b)."""
+    x = pairs.join(m.select(F.col("row").alias("a"), "col", F.col("value").alias("x")), "a").join(m.select(F.col("row").alias("b"), F.col("col").alias("c_"), F.col("value").alias("y")), "b").where("col = c_")
+    return x.groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
