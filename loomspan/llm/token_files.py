@@ -40,7 +40,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2048, 64 << 10
 #: Texts (bytes, roughly) that go into one shard.
 SHARD_BYTES = 24 << 20
 #: Bytes of one generation of remembered ids (see ``bpe``).
-CACHED_BYTES = 32 << 20
+CACHED_BYTES = 64 << 20
 #: The fixed pattern of byte-level pre-tokenizers.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
