@@ -156,14 +156,15 @@ class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers; ``encode_piece`` gives those of one piece.
 
     A lone space between two characters that aren't white space always begins a piece of the byte-level
-    patterns served here, so a text is cut there first and the ids of each part are remembered. Texts in
-    which some part has white space at an end go through the pattern as a whole.
+    patterns served here, so a text is cut there first and the ids of each part are remembered. A part of
+    letters only is one piece with its space, and is remembered once. Texts in which some part has white
+    space at an end go through the pattern as a whole.
     """
 
     def __init__(self, encode_piece, pattern: str, cached: int = CACHED_BYTES):
         import regex
 
-        self.pattern, self.splits = regex.compile(pattern), pattern in SPACE_STARTS_PIECE
+        self.encode_piece, self.pattern, self.splits = encode_piece, regex.compile(pattern), pattern in SPACE_STARTS_PIECE
         self.pieces, self.parts = _Recent(encode_piece, cached), _Recent(self._part, cached)
 
     def forget(self) -> None:
@@ -172,7 +173,14 @@ class PieceEncoder:
         self.parts.forget()
 
     def _part(self, part: str) -> bytes | None:
-        return self._whole(" " + part) if part and part.strip() == part else None
+        if part.isalpha():
+            return self.encode_piece(" " + part)
+        return b"".join(map(self._shared, self.pattern.findall(" " + part))) if part and part.strip() == part else None
+
+    def _shared(self, piece: str) -> bytes:
+        """Ids of a piece, from the parts if it is one."""
+        word = piece[1:]
+        return self.parts[word] if piece[0] == " " and word.isalpha() else self.pieces[piece]
 
     def _whole(self, text: str) -> bytes:
         pieces = self.pattern.findall(text) if len(text) < LAZY_CHARS else (m[0] for m in self.pattern.finditer(text))

@@ -69,10 +69,13 @@ class LibraryEncoder(PieceEncoder):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: 256 + k for k, b in enumerate(others)}
+        self.space = chr(self.alphabet[ord(" ")])
 
     def of_piece(self, piece: str) -> bytes:
         """Ids of one pre-token by the library's model."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        plain = piece.isascii() and piece.isprintable()  # only its spaces change
+        letters = piece.replace(" ", self.space) if plain else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def library(self, text: str) -> bytes:
