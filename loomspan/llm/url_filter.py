@@ -17,6 +17,8 @@ from loomspan.llm.common import Scratch, hash_fraction
 #: Bounded labelled sample that the trees are fitted on; rows at the overall share that are added to each host suffix's.
 TRAIN_ROWS, SUFFIX_PRIOR_ROWS = 20_000, 5
 TREES, DEPTH, STEP = 20, 4, 0.2
+#: Part of the training URLs whose host counts as unknown, so that the trees also learn to judge hosts without labels.
+UNKNOWN_HOSTS = 0.3
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -125,6 +127,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     share = (F.col("blocked") + SUFFIX_PRIOR_ROWS * base) / (F.col("n") + SUFFIX_PRIOR_ROWS)
     shares = Scratch(labelled.sparkSession).cut(seen.select("suffix", share.alias("share")), "suffixes")
     x = features(sample, shares, base)
+    unknown = hash_fraction(F.col("url"), F.lit("unknown")) < UNKNOWN_HOSTS
+    x = x.withColumns({c: F.when(unknown, F.lit(base)).otherwise(F.col(c)) for c in ("f_tld_share", "f_suffix_share")})
     names = [c[2:] for c in x.columns if c.startswith("f_")]
     ready = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="features").transform(x).select("features", F.col("blocked").cast("double").alias("label")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=STEP, seed=7, maxBins=32).fit(ready)
@@ -141,6 +145,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], cutoff: float = 0.5) -> Dat
 
     Null URLs and those without "://" have an empty host and path, fit no rule and are judged by the trees like
     others. Without labelled URLs of both kinds there are no trees: score 0, "allow". Equal URLs get equal results.
+    Of rules of equal length that fit, the first counts. URLs of any length are read whole.
     Repeated rows stay. Columns with these names in ``pages`` are replaced, all others kept. An empty table gives
     an empty table.
     """
