@@ -190,7 +190,9 @@ def fingerprints_with_neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
     """``fingerprint_with_next`` with class_id and n_near (long).
 
     A class is the rows of one fingerprint, class_id its smallest doc_id (null if none has one). n_near: other rows
-    whose fingerprint is equal or within ``radius`` bits.
+    whose fingerprint is equal or within ``radius`` bits. Repeated rows and rows without id count as rows of their own;
+    null texts count as empty, and texts without words share one fingerprint. Long texts are read whole. An empty table
+    gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(fingerprint_with_next(docs), "rows")

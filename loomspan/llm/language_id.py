@@ -269,7 +269,11 @@ def identify(docs: DataFrame, usable: Column | None = None) -> DataFrame:
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 5 is 0; never learned from), lang_pred, score."""
+    """doc_id, held_out (crc32 of the id modulo 5 is 0; never learned from), lang_pred, score.
+
+    Documents without id are never held out. Null, empty and letterless texts, repeated rows and empty tables as in
+    ``identify``; long texts are read whole, window by window. Other columns are not read.
+    """
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     out = identify(docs.select("doc_id", "text", "lang"), usable=~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -180,7 +180,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 3 is 1; labels never used), score, predicted (1 from 0.5 on)."""
+    """doc_id, held_out (crc32 of the id modulo 3 is 1; labels never used), score, predicted (1 from 0.5 on).
+
+    Documents without id are never held out and never learned from. Labels of ids that ``docs`` lacks, null labels and
+    labels other than 0 and 1 are not learned from; of several labels of one id the largest counts. Without ten labelled
+    documents, or without both labels, every text has the share of label 1 as its score (0.5 without labels). Null and
+    empty texts, repeated rows, whole long texts and empty tables as in ``score``; other columns are not read.
+    """
     ship(docs.sparkSession)
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     out = score(docs.select("doc_id", "text"), train(docs, labels, ~held))
