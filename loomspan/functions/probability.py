@@ -85,6 +85,26 @@ def error_function(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
 
+def skellam_tail_values(k: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The smaller of P(X <= k) and P(X >= k) for X the difference of two Poisson variables with rates ``first`` and ``second``, both above 0."""
+    out = np.empty(len(k))
+    for n, (x, a, b) in enumerate(zip(k, first, second)):
+        top = int(np.ceil(b + 12 * np.sqrt(b) + 40))
+        j = np.arange(top + 1)
+        share = poisson_pmf_values(j, np.full(len(j), b))
+        reach = int(x) + j  # the first variable that makes the difference k
+        below = np.where(reach >= 0, poisson_cdf_values(np.maximum(reach, 0), np.full(len(j), a)), 0.0)
+        at = np.where(reach >= 0, poisson_pmf_values(np.maximum(reach, 0), np.full(len(j), a)), 0.0)
+        left = float(share @ below)
+        out[n] = min(left, 1 - left + float(share @ at))
+    return np.clip(out, 0.0, 1.0)
+
+
+@F.pandas_udf(T.DoubleType())
+def skellam_tail(k: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
+    return pd.Series(skellam_tail_values(k.to_numpy(), first.to_numpy(float), second.to_numpy(float)))
+
+
 def poisson_pmf(k: Column, rate: Column) -> Column:
     """exp(k ln(rate) - rate - ln k!)."""
     return F.exp(k * F.log(rate) - rate - _log_factorial(k))

@@ -254,3 +254,15 @@ def all_words(spark, k: int, alphabet: str = "ACGT"):
     n = len(alphabet)
     letters = [F.substring(F.lit(alphabet), 1, n).substr((F.floor(F.col("id") / n**p) % n + 1).cast("int"), F.lit(1)) for p in range(k - 1, -1, -1)]
     return spark.range(n**k).select(F.concat(*letters).alias("word"))
+
+
+def flows(s: Column, order: str = "TACG") -> Column:
+    """How many bases each flow of nucleotides in the cyclic ``order`` takes up, zeros included; the last run of bases, which no flow has ended, is left out.
+
+    Characters other than A, C, G, T are taken out first; case doesn't count.
+    """
+    runs = F.regexp_extract_all(F.regexp_replace(F.upper(s), "[^ACGT]", ""), F.lit(r"((.)\2*)"), 1)
+    place = lambda r: F.translate(F.substring(r, 1, 1), order, "0123").cast("int")
+    idle = lambda r, i: F.when(i == 0, place(r)).otherwise(F.pmod(place(r) - place(F.get(runs, i - 1)) - 1, F.lit(4)))
+    out = F.flatten(F.transform(runs, lambda r, i: F.concat(F.array_repeat(F.lit(0), idle(r, i)), F.array(F.length(r)))))
+    return F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
