@@ -291,15 +291,13 @@ def reach(edges: DataFrame, hops: int) -> DataFrame:
     return paths.groupBy("a", "b").agg(F.min("hops").alias("hops"))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable over ``edges`` (a, b), by smallest-neighbour hooks and rewritten edges, written out each round."""
     from loomspan.plans.storage import written
 
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    for _ in range(rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():  # each round leaves at most half of the nodes that still have edges
         both = e.select(F.col("a").alias("id"), F.col("b").alias("n")).union(e.select("b", "a"))
         hook = written(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("to")))
         e = written(
