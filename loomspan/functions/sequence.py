@@ -11,6 +11,17 @@ def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGTacgt", "TGCAtgca"))
 
 
+#: Letters whose upper case in full is several letters, and the one letter that stands for it (most keep their own).
+_WIDE = [c for c in map(chr, range(0xDF, 0xFB18)) if not 0xD800 <= ord(c) <= 0xDFFF and len(c.upper()) > 1]
+_NARROW = "".join("\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in _WIDE)
+
+
+def upper_prefix(s: Column, n: int) -> Column:
+    """The first ``n`` letters, each as one upper-case letter: where the full mapping gives several, the simple one holds (sharp s: U+1E9E)."""
+    letters = [F.substring(s, k, 1) for k in range(1, n + 1)]
+    return F.concat(*[F.when(F.length(F.upper(c)) <= 1, F.upper(c)).otherwise(F.translate(c, "".join(_WIDE), _NARROW)) for c in letters])
+
+
 def base_count(s: Column, bases: str) -> Column:
     return F.length(s) - F.length(F.translate(s, bases, ""))
 

@@ -94,6 +94,6 @@ def sequence_pwm(spark, d):
 
 @query("SELECT conv_id, turn, length(text) AS n, upper(left(text, 5)) AS barcode FROM conversations WHERE upper(left(text, 5)) IN (SELECT upper(left(text, 5)) FROM conversations GROUP BY 1 HAVING count(*) > 1)")
 def sequence_barcode_split(spark, d):
-    x = table(spark, d, "conversations").withColumn("barcode", F.upper(F.substring("text", 1, 5)))
+    x = table(spark, d, "conversations").withColumn("barcode", sq.upper_prefix(F.col("text"), 5))
     codes = x.groupBy("barcode").count().where("count > 1").select("barcode")
     return x.join(codes, "barcode").select("conv_id", "turn", F.length("text").cast("long").alias("n"), "barcode")
