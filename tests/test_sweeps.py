@@ -41,3 +41,10 @@ def test_upstream_downstream_looks_back_only(spark):
         c, s, e, _ = next(x for x in a if x[3] == r["name"])
         assert r["upstream"] == max(((os, oe) for oc, os, oe, _ in b if oc == c and os < s), default=(None, None))[1]
         assert r["downstream"] == min((os for oc, os, _, _ in b if oc == c and os >= e + 1), default=None)
+
+
+def test_equal_rows_of_an_island_are_peers(spark):
+    rows = [("x", s, s + 10, f"r{i}") for i in range(50) for s in (0, 10, 10, 40_000)]
+    got = iv.islands(spark.createDataFrame(rows, COLUMNS))
+    assert "rangeframe, unboundedpreceding$(), currentrow$()" in plan(got)  # in a frame of rows the result depends on how equal rows are sorted
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 0, 10, 50), ("x", 10, 20, 100), ("x", 40_000, 40_010, 50)]
