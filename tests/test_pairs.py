@@ -2,6 +2,7 @@
 
 import random
 
+from loomspan.operators import genes as gn
 from loomspan.operators import tracks as tr
 
 ROWS = "chr string, start long, end long, name string"
@@ -12,6 +13,19 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def models(seed, n):
+    r, out = random.Random(seed), []
+    for i in range(n):
+        at = r.choice([100, 2000, 5000])
+        ex = [(at + 300 * k + r.randrange(40), at + 300 * k + 60 + r.randrange(40)) for k in range(r.randrange(1, 4))]
+        out.append((f"g{i:03}", r.choice("xy"), r.choice("+-"), ex))
+    return out + [(f"copy{i}", *m[1:]) for i, m in enumerate(out[: n // 2])]
+
+
+def shared(a, b):
+    return sum(max(min(e, f) - max(s, t), 0) for s, e in a[3] for t, f in b[3]) if a[1:3] == b[1:3] else 0
+
+
 def test_stitched_overlap_of_dense_rows(spark):
     r = random.Random(3)
     a = [("x", s, s + r.choice([0, 1, 5, 40]), f"a{i}") for i, s in enumerate(r.choices(range(3000), k=300))]
@@ -26,3 +40,12 @@ def test_stitched_overlap_of_dense_rows(spark):
             total, reach = total + max(min(f, e) - max(low, s), 0), max(f, reach or f)
         want[name] = total
     assert {x["name"]: x["score"] for x in got.collect()} == want
+
+
+def test_exon_overlap_sends_no_pairs(spark):
+    m = models(4, 60)
+    g = spark.createDataFrame(m, MODELS)
+    got = gn.exon_overlap(g, g)
+    assert "aggregate [" not in plan(got)  # a pair is complete where it is found
+    want = {(a[0], b[0], n, n / sum(e - s for s, e in a[3])) for a in m for b in m if (n := shared(a, b))}
+    assert {tuple(x) for x in got.collect()} == want
