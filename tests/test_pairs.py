@@ -65,3 +65,10 @@ def test_loci_compare_one_copy_and_send_a_forest(spark):
     import pandas as pd
 
     assert sorted(map(tuple, pd.concat(st._forest([pd.DataFrame(links, columns=["a", "b"])])).values)) == [(x, "a") for x in "bcdef"]
+
+
+def test_truncated_lists_a_model_in_few_bins(spark):
+    g = spark.createDataFrame([("g", "x", "+", [(0, 60), (1300, 1400)]), ("h", "x", "+", [(40, 60), (1300, 1400)])], MODELS)
+    got = st.truncated(g, g, "5", 30)
+    assert "/ 2048" in plan(got) or "2048" in plan(got)  # bins of 128 positions listed each of these eleven times
+    assert [tuple(x) for x in got.collect()] == [("h", "g", 40)]
