@@ -182,7 +182,8 @@ def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
     a, b = rows.withColumnRenamed("fingerprint", "a"), rows.withColumnRenamed("fingerprint", "b")
     words = digits // 8
     distance = sum((F.bit_count(_word(F.col("a"), k).bitwiseXOR(_word(F.col("b"), k))) for k in range(1, words)), F.bit_count(_word(F.col("a"), 0).bitwiseXOR(_word(F.col("b"), 0))))
-    both = a.join(b, "key").where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius)
+    # the planner takes the rows for as small as the table before explode(): unhinted it broadcasts them, by way of the driver
+    both = a.join(b.hint("merge"), "key").where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius)
     return both.select("a", "b", "distance").distinct()
 
 
