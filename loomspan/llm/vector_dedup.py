@@ -1,8 +1,9 @@
 """Near-duplicate vectors by spherical k-means cells (operator 7).
 
 Equal vectors are one class first. Centroids are fitted on a bounded sample; each class belongs to the cell of
-its nearest centroid and also visits every later cell that a linked vector may belong to. Within a cell, blocks
-of visitors and members are compared by matrix products. The points as near to two centroids as to each other
+its nearest centroid and also visits every later cell that a linked vector may belong to. Classes are written once,
+by cell; a task takes a block of one cell and reads the cells that it visits from these files, so that visits, whose
+number may grow with the square of the table, take no disk. Blocks are compared by matrix products. The points as near to two centroids as to each other
 are a hyperplane through the origin; the way from a vector to a linked one of the other cell crosses it, so the
 vector's angle to it is at most the angle of the threshold (see ``visits``). No pair is lost.
 Counts of links and a spanning forest leave a block, never its pairs. Components join the forests.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -137,46 +139,72 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, thresho
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                near = np.stack([np.frombuffer(u, np.float64) for u in part.column(0).to_pylist()]) @ c.T
-                home = near.argmax(axis=1)
-                rows, cells = np.nonzero(visits(near, c, threshold))
-                for at in range(0, len(rows), 8192):
-                    row, cell = rows[at : at + 8192], cells[at : at + 8192]
-                    cols = [part.take(pa.array(row)).column(i) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home[row]), *cols], names=["cell", "home", "unit", "rep", "mult"])
-
-    placed = scratch.cut(classes.select("unit", "rep", "mult").mapInArrow(place, "cell long, home long, unit binary, rep long, mult long"), f"placed{dims}")
-    number = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("members"))
-    number = number.select("cell", F.ceil(F.col("visits") / BLOCK).cast("long").alias("v"), F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("long").alias("m"))
-    blocks = placed.join(F.broadcast(number), "cell")  # at most MOST_CELLS rows
-    own = F.col("cell") == F.col("home")
-    salt = F.xxhash64("rep", F.lit(17))
-    x = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("cell", F.pmod(salt, "v").alias("p"), "q", F.lit(0).alias("side"), "home", "unit", "rep", "mult")
-    y = blocks.where(own).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1))).select("cell", "p", F.pmod(salt, "m").alias("q"), F.lit(1).alias("side"), "home", "unit", "rep", "mult")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = int(pdf["cell"].iloc[0])
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"rep": [], "n": [], "other": []})
-        ua, ub = (np.stack([np.frombuffer(u, np.float64) for u in s["unit"]]) for s in (a, b))
-        i, j = np.nonzero(ua.astype(np.float32) @ ub.astype(np.float32).T >= threshold - SLACK)
-        ra, rb, ha = a["rep"].to_numpy(), b["rep"].to_numpy(), a["home"].to_numpy()
-        keep = ra[i] != rb[j]
-        i, j = i[keep], j[keep]
-        cosine = np.concatenate([np.einsum("nd,nd->n", ua[i[lo : lo + 65536]], ub[j[lo : lo + 65536]]) for lo in range(0, max(len(i), 1), 65536)])
-        i, j = i[cosine >= threshold], j[cosine >= threshold]
-        same = ha[i] == cell  # both of one cell: met in either order, each counts its own; else the pair meets here only, for both
-        ma, mb = a["mult"].to_numpy(), b["mult"].to_numpy()
-        na = np.bincount(i, weights=mb[j], minlength=len(a)).astype(np.int64)
-        nb = np.bincount(j[~same], weights=ma[i[~same]], minlength=len(b)).astype(np.int64)
-        rep = np.concatenate([ra, rb])
-        ids, local = np.unique(rep, return_inverse=True)
-        root = forest(len(ids), local[i], local[len(ra) + j])
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        out_n = pd.DataFrame({"rep": np.concatenate([ra[na > 0], rb[nb > 0]]), "n": np.concatenate([na[na > 0], nb[nb > 0]])})
-        out_n["other"] = pd.array([pd.NA] * len(out_n), dtype="Int64")
-        out_e = pd.DataFrame({"rep": ids[linked], "n": 0, "other": pd.array(ids[root[linked]], dtype="Int64")})
-        return pd.concat([out_n, out_e], ignore_index=True)
-
-    return x.union(y).groupBy("cell", "p", "q").applyInPandas(compare, "rep long, n long, other long")
+                home = (np.stack([np.frombuffer(u, np.float64) for u in part.column(0).to_pylist()]) @ c.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(home), *part.columns], names=["home", "unit", "rep", "mult"])
+
+    folder = scratch.path(f"cells{dims}")
+    placed = classes.select("unit", "rep", "mult").mapInArrow(place, "home long, unit binary, rep long, mult long")
+    placed.repartition("home").sortWithinPartitions("home").write.partitionBy("home").parquet(folder)
+    sizes = spark.read.parquet(folder).groupBy(F.col("home").cast("long").alias("home")).count().collect()  # at most MOST_CELLS rows
+    cells = sorted(r["home"] for r in sizes)
+    block = BLOCK
+    work = [(r["home"], p) for r in sizes for p in range(-(-r["count"] // block))]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cell, p in batch.itertuples(index=False):
+                ua, ra, ma = next(islice(_blocks(folder, cell, block), p, None))
+                seen = visits(ua @ shared.value.T, shared.value, threshold)
+                for other in cells:
+                    rows = np.flatnonzero(seen[:, other]) if other > cell else np.arange(len(ua)) if other == cell else []
+                    if len(rows):
+                        for ub, rb, mb in _blocks(folder, other, block):
+                            if len(out := _links(ua[rows], ra[rows], ma[rows], ub, rb, mb, other == cell, threshold)):
+                                yield out
+
+    n = min(len(work), 4 * max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.createDataFrame(work, "cell long, p long").repartition(n).mapInPandas(compare, "rep long, n long, other long")
+
+
+def _blocks(folder: str, cell: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """unit, rep and mult of a cell's classes from its files, ``size`` rows at a time; the same blocks each time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    def arrays(t: pa.Table):
+        return np.frombuffer(b"".join(t["unit"].to_pylist()), np.float64).reshape(t.num_rows, -1), t["rep"].to_numpy(), t["mult"].to_numpy()
+
+    store, base = fs.FileSystem.from_uri(f"{folder}/home={cell}")
+    held, n = [], 0
+    for path in sorted(x.path for x in store.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(".parquet")):
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(size, columns=["unit", "rep", "mult"]):
+                held.append(batch)
+                n += batch.num_rows
+                while n >= size:
+                    t = pa.Table.from_batches(held)
+                    yield arrays(t.slice(0, size))
+                    held, n = t.slice(size).to_batches(), n - size
+    if n:
+        yield arrays(pa.Table.from_batches(held))
+
+
+def _links(ua, ra, ma, ub, rb, mb, same: bool, threshold: float) -> pd.DataFrame:
+    """Rows (rep, n, other) of two blocks: weighted link counts (other null) and forest edges (n 0).
+
+    ``same``: blocks of one cell, which are met in either order, so that each time the first counts its own; else the pair meets here only, for both.
+    """
+    i, j = np.nonzero(ua.astype(np.float32) @ ub.astype(np.float32).T >= threshold - SLACK)
+    keep = ra[i] != rb[j]
+    i, j = i[keep], j[keep]
+    cosine = np.concatenate([np.einsum("nd,nd->n", ua[i[lo : lo + 65536]], ub[j[lo : lo + 65536]]) for lo in range(0, max(len(i), 1), 65536)])
+    i, j = i[cosine >= threshold], j[cosine >= threshold]
+    na = np.bincount(i, weights=mb[j], minlength=len(ra)).astype(np.int64)
+    nb = np.bincount([] if same else j, weights=[] if same else ma[i], minlength=len(rb)).astype(np.int64)
+    ids, local = np.unique(np.concatenate([ra, rb]), return_inverse=True)
+    root = forest(len(ids), local[i], local[len(ra) + j])
+    linked = np.flatnonzero(root != np.arange(len(ids)))
+    out_n = pd.DataFrame({"rep": np.concatenate([ra[na > 0], rb[nb > 0]]), "n": np.concatenate([na[na > 0], nb[nb > 0]])})
+    out_n["other"] = pd.array([pd.NA] * len(out_n), dtype="Int64")
+    out_e = pd.DataFrame({"rep": ids[linked], "n": 0, "other": pd.array(ids[root[linked]], dtype="Int64")})
+    return pd.concat([out_n, out_e], ignore_index=True)
