@@ -11,6 +11,7 @@ Counts of links and a spanning forest leave a block, never its pairs. Components
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import islice
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, components, forest, ship
+from loomspan.llm.common import Scratch, components, forest, release, ship
 
 #: Bounded sample that the centroids are fitted on, classes a cell holds on average, most cells, k-means rounds.
 SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, ROUNDS = 20_000, 2000, 4096, 8
@@ -79,14 +80,15 @@ def _unit(v: list | None) -> list | None:
 
 
 def _units(df: DataFrame) -> DataFrame:
-    """(vec_id, unit binary): the unit vectors' bytes, null for vectors that link with nothing."""
+    """(vec_id, key binary, unit binary): the unit vectors' sha256 and bytes, null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = [_unit(v) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v is None else (v + 0.0).tobytes() for v in u], pa.binary())], names=["vec_id", "unit"])
+            u = [None if (v := _unit(x)) is None else (v + 0.0).tobytes() for x in b.column(1).to_pylist()]
+            key = [None if v is None else hashlib.sha256(v).digest() for v in u]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(u, pa.binary())], names=["vec_id", "key", "unit"])
 
-    return df.mapInArrow(run, "vec_id long, unit binary")
+    return df.mapInArrow(run, "vec_id long, key binary, unit binary")
 
 
 def linked_components(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -102,9 +104,11 @@ def linked_components(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    rows = scratch.cut(_units(vectors.select("vec_id", "embedding")), "rows")
-    classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("mult"))
+    units = _units(vectors.select("vec_id", "embedding"))
+    rows = scratch.cut(units.select("vec_id", "key"), "rows")  # the vectors themselves go with their classes only
+    classes = units.where("unit is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"))
     classes = scratch.cut(classes.withColumn("rep", F.xxhash64("unit")), "classes")
+    release(spark)
     sizes = classes.groupBy(F.length("unit").alias("bytes")).count().collect()  # one row per vector length
     counts, edges = [], []
     for r in sizes:
@@ -120,8 +124,8 @@ def linked_components(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     out = classes.join(count.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     out = out.withColumn("comp", F.coalesce("comp", "rep"))
     lowest = out.groupBy("comp").agg(F.min("low").alias("component_id"))
-    out = scratch.cut(out.join(lowest, "comp").select("unit", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id"), "out")
-    full = rows.join(out, "unit", "left")
+    out = scratch.cut(out.join(lowest, "comp").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id"), "out")
+    full = rows.join(out, "key", "left")
     comp = F.coalesce("component_id", "vec_id")
     return full.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
 
