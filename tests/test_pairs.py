@@ -72,3 +72,34 @@ def test_truncated_lists_a_model_in_few_bins(spark):
     got = st.truncated(g, g, "5", 30)
     assert "/ 2048" in plan(got) or "2048" in plan(got)  # bins of 128 positions listed each of these eleven times
     assert [tuple(x) for x in got.collect()] == [("h", "g", 40)]
+
+
+def test_loci_join_no_pairs(spark):
+    m = models(6, 40) + [("s1", "x", "*", [(120, 160)]), ("s2", "y", "*", [(2020, 2070)]), ("no1", None, "+", [(1, 9)]), ("no2", "x", None, [(1, 9)]), ("no3", "x", "+", []), ("zero", "x", "+", [(130, 130)])]
+    got = st.loci(spark.createDataFrame(m, MODELS), 0.5)
+    assert "o_exons" not in plan(got)  # pairs of whole models grow with the square of a locus
+    fits = lambda a, b: a[1] and b[1] and a[1] == b[1] and (a[2] == b[2] and a[2] or "*" in (a[2], b[2]))
+    both = lambda a, b: sum(max(min(e, f) - max(s, t), 0) for s, e in a[3] for t, f in b[3]) if fits(a, b) else 0
+    size = lambda a: sum(e - s for s, e in a[3])
+    up = {a[0]: a[0] for a in m}
+    for _ in m:
+        for a in m:
+            up[a[0]] = min(up[b[0]] for b in m if a is b or both(a, b) > 0.5 * min(size(a), size(b)))
+    assert {x["name"]: x["locus"] for x in got.collect()} == up
+
+
+def test_components_compare_few_pairs(monkeypatch):
+    import numpy as np
+
+    from loomspan.operators import bins
+
+    n, seen, real = 4000, [0], bins.shared
+
+    def count(s, e, i, j):
+        seen[0] += len(i) * len(j)
+        return real(s, e, i, j)
+
+    monkeypatch.setattr(bins, "shared", count)
+    s = np.arange(n, dtype=np.int64)[None, :] % 20
+    assert not bins.components(s, s + 100, np.full(n, 100), 0.5).any()
+    assert seen[0] < 20 * n
