@@ -103,3 +103,16 @@ def test_components_compare_few_pairs(monkeypatch):
     s = np.arange(n, dtype=np.int64)[None, :] % 20
     assert not bins.components(s, s + 100, np.full(n, 100), 0.5).any()
     assert seen[0] < 20 * n
+
+
+def test_exon_overlap_sends_models_once(spark):
+    m = models(7, 40) + [("s1", "x", "*", [(120, 160)]), ("no2", "x", None, [(110, 190)]), ("no3", "x", "+", [])]
+    g = spark.createDataFrame(m, MODELS)
+    got = gn.exon_overlap(g, g, less=True)
+    assert "join" not in plan(got)  # the two sides are one table
+    fits = lambda a, b: a[2] and b[2] and (a[2] == b[2] or "*" in (a[2], b[2])) or "*" in (a[2], b[2])
+    n = lambda a, b: sum(max(min(e, f) - max(s, t), 0) for s, e in a[3] for t, f in b[3]) if a[1] == b[1] and fits(a, b) else 0
+    want = sorted((a[0], b[0], n(a, b), n(a, b) / sum(e - s for s, e in a[3])) for a in m for b in m if a[0] < b[0] and n(a, b))
+    assert sorted(map(tuple, got.collect())) == want
+    h = spark.createDataFrame(m, MODELS)
+    assert sorted(map(tuple, gn.exon_overlap(g, h).where("name < o_name").collect())) == want
