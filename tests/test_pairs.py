@@ -116,3 +116,19 @@ def test_exon_overlap_sends_models_once(spark):
     assert sorted(map(tuple, got.collect())) == want
     h = spark.createDataFrame(m, MODELS)
     assert sorted(map(tuple, gn.exon_overlap(g, h).where("name < o_name").collect())) == want
+
+
+def test_truncated_sends_models_once(spark):
+    m = models(8, 50) + [("null", "x", None, [(100, 900)]), ("none", "x", "+", [])]
+    g, h = spark.createDataFrame(m, MODELS), spark.createDataFrame(m, MODELS)
+    assert "join" not in plan(st.truncated(g, g, "5", 30))  # the two sides are one table
+    for end in "53":
+        want = []
+        for a in m:
+            for b in m:
+                if a[3] and b[3] and a[2] and a[1:3] == b[1:3] and a[3][0][0] < b[3][-1][1] and a[3][-1][1] > b[3][0][0]:
+                    missing = a[3][0][0] - b[3][0][0] if (a[2] == "-") == (end == "3") else b[3][-1][1] - a[3][-1][1]
+                    want += [(a[0], b[0], missing)] if missing >= 30 else []
+        assert want
+        for other in (g, h):
+            assert sorted(map(tuple, st.truncated(g, other, end, 30).collect())) == sorted(want)
